@@ -52,3 +52,23 @@ def p4_converted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p2_found, p2_counts, p3_found, p3_grid, p4_found, p4_converted)}
+
+_RUNS = r"""WITH d AS (SELECT DISTINCT version_id FROM statute_chunk WHERE version_id IS NOT NULL),
+    r AS (SELECT version_id, lag(version_id) OVER w AS prev FROM ingestion_runs JOIN d USING (version_id) WINDOW w AS (PARTITION BY act, language ORDER BY try_cast(ingested_at AS TIMESTAMPTZ) NULLS FIRST, version_id)),
+    k AS (SELECT DISTINCT version_id, citation, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text, part, division, valid_to FROM statute_chunk),
+    c AS (SELECT r.version_id, n.citation, CASE WHEN o.version_id IS NULL THEN 'added' WHEN n.text IS DISTINCT FROM o.text OR n.part IS DISTINCT FROM o.part OR n.division IS DISTINCT FROM o.division
+        OR n.valid_to IS DISTINCT FROM o.valid_to THEN 'changed' END AS change FROM r JOIN k n ON n.version_id = r.version_id LEFT JOIN k o ON o.version_id = r.prev AND o.citation IS NOT DISTINCT FROM n.citation WHERE r.prev IS NOT NULL
+        UNION ALL SELECT r.version_id, o.citation, 'removed' FROM r JOIN k o ON o.version_id = r.prev WHERE NOT EXISTS (SELECT 1 FROM k n WHERE n.version_id = r.version_id AND n.citation IS NOT DISTINCT FROM o.citation)),
+    f AS (SELECT * FROM c WHERE change IS NOT NULL) """
+_GRID = r"""WITH r AS (SELECT key_plot_id, lower(trim(target_name)) AS target_name, CASE WHEN regexp_matches(trim(collection_date), '^\d{4}-\d{2}-\d{2}([T ].*)?$') THEN try_strptime(substr(trim(collection_date), 1, 10), '%Y-%m-%d')::DATE
+    WHEN regexp_matches(trim(collection_date), '^\d{1,2}/\d{1,2}/\d{4}$') THEN try_strptime(trim(collection_date), '%m/%d/%Y')::DATE END AS d FROM canonical WHERE concentration_value IS NOT NULL),
+    w AS (SELECT key_plot_id, target_name, date_trunc('week', d)::DATE AS wk, count(*) AS n FROM r WHERE d BETWEEN DATE '2022-01-03' AND DATE '2025-12-28' GROUP BY ALL),
+    s AS (SELECT key_plot_id, target_name, generate_series(min(wk), max(wk), INTERVAL 7 DAY) AS wks FROM w GROUP BY 1, 2),
+    g AS (SELECT key_plot_id, target_name, unnest(wks)::DATE AS wk FROM s) """
+
+SQL = {
+    "p2_found": _RUNS + "SELECT version_id, citation, change FROM f",
+    "p2_counts": _RUNS + "SELECT version_id, count(*) FILTER (change = 'added') AS chunks_added, count(*) FILTER (change = 'removed') AS chunks_removed, count(*) FILTER (change = 'changed') AS chunks_changed FROM f GROUP BY 1",
+    "p3_found": _GRID + "SELECT g.key_plot_id, g.target_name, strftime(g.wk, '%Y-%m-%d') AS week_start FROM g ANTI JOIN w ON g.key_plot_id = w.key_plot_id AND g.target_name = w.target_name AND g.wk = w.wk",
+    "p3_grid": _GRID + "SELECT g.key_plot_id, g.target_name, strftime(g.wk, '%Y-%m-%d') AS week_start, coalesce(n, 0) AS n_readings, n IS NULL AS is_missing FROM g LEFT JOIN w ON g.key_plot_id = w.key_plot_id AND g.target_name = w.target_name AND g.wk = w.wk",
+}
