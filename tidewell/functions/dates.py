@@ -10,13 +10,12 @@ def any_date(c: Column | str, first: str | None = None, last: str | None = None)
     """``yyyy-MM-dd``, the same with a time behind it, or ``M/d/yyyy``, as a date; null for anything else and, where
     bounds are given, for dates outside of [first, last]."""
     s = F.trim(F.col(c) if isinstance(c, str) else c)
-    iso = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.try_to_date(F.substring(s, 1, 10), "yyyy-MM-dd"))
-    us = F.when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.try_to_date(s, "M/d/yyyy"))
-    d = F.coalesce(iso, us)
-    if first is not None:
-        d = F.when(d >= F.lit(first).cast("date"), d)
-    if last is not None:
-        d = F.when(d <= F.lit(last).cast("date"), d)
+    # both forms become one text that a single cast reads
+    text = F.when(s.rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$"), F.substring(s, 1, 10)).when(s.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), F.regexp_replace(s, r"^(\d+)/(\d+)/(\d+)$", r"$3-$1-$2"))
+    d = text.try_cast("date")
+    if first is not None or last is not None:
+        inside = (d >= F.lit(first or "0001-01-01").cast("date")) & (d <= F.lit(last or "9999-12-31").cast("date"))
+        return F.when(inside, d)
     return d
 
 

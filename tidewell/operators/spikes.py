@@ -235,9 +235,11 @@ def implausible_readings(
     dated = rows.where("day is not null and c is not null")
     daily = dated.groupBy("k1", "k2", "day").agg(F.min_by("v", "at").alias("v"), F.min_by("c", "at").alias("c"), F.min("c").alias("low"), F.max("c").alias("high"))
     bounds = daily.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "day").mapInArrow(_judge(rules), _BOUNDS)
+    # one pass over the rows: those without a bound can only be negative
     c = F.col("c")
-    judged = dated.where("c >= 0").join(bounds, ["k1", "k2", "day"]).select(
-        "__key", F.when(F.col("v") == F.col("stuck"), F.lit("stuck")).when(c > F.col("hi"), F.lit("high")).when(c < F.col("lo"), F.lit("low")).alias("fault")
+    at = ["k1", "k2", "day"]
+    judged = rows.where("c < 0 or (c >= 0 and day is not null)").join(bounds, at, "left").select(
+        "__key",
+        F.when(c < 0, F.lit("negative")).when(F.col("v") == F.col("stuck"), F.lit("stuck")).when(c > F.col("hi"), F.lit("high")).when(c < F.col("lo"), F.lit("low")).alias("fault"),
     )
-    negative = rows.where("c < 0").select("__key", F.lit("negative").alias("fault"))
-    return judged.where("fault is not null").unionByName(negative).withColumnRenamed("__key", key)
+    return judged.where("fault is not null").withColumnRenamed("__key", key)

@@ -4,24 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from tidewell.functions.units import conversion_table, unit_key
 
+_SEPARATOR = "\x1f"
 _TABLE = "unit_key string, common_unit string, log boolean, a double, b double, is_common boolean"
 
 
-@F.pandas_udf(StringType())
-def _unit_keys(columns: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Each distinct pair of texts of a batch is parsed once; the parser also remembers what it has seen."""
-    for unit, method in columns:
-        pairs = pd.MultiIndex.from_arrays([unit, method])
-        codes, distinct = pd.factorize(pairs)
-        keys = [unit_key(u if isinstance(u, str) else None, m if isinstance(m, str) else None) for u, m in distinct]
-        yield pd.Series(keys, dtype=object).take(codes).reset_index(drop=True)
+@F.arrow_udf(StringType())
+def _unit_keys(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Each distinct text of a batch (unit, separator, method) is parsed once; the parser also remembers what it has seen."""
+    for column in columns:
+        coded = column.dictionary_encode()
+        keys = pa.array([unit_key(*text.split(_SEPARATOR, 1)) for text in coded.dictionary.to_pylist()], pa.string())
+        yield keys.take(coded.indices)
 
 
 def harmonize_units(
@@ -41,7 +41,8 @@ def harmonize_units(
     df = df.drop(*out)
     table = spark.createDataFrame(conversion_table(), _TABLE).select(*(F.col(c).alias(f"__cv_{c}") for c in ("unit_key", "common_unit", "log", "a", "b", "is_common")))
     x = F.col(value).cast("double")
-    joined = df.withColumn("__unit_key", _unit_keys(F.col(unit).cast("string"), F.col(method).cast("string"))).join(
+    texts = F.concat(F.coalesce(F.col(unit).cast("string"), F.lit("")), F.lit(_SEPARATOR), F.coalesce(F.col(method).cast("string"), F.lit("")))
+    joined = df.withColumn("__unit_key", _unit_keys(texts)).join(
         F.broadcast(table), F.col("__unit_key") == F.col("__cv_unit_key"), "left"
     )
     parts = F.split("__unit_key", r"\|", 3)
