@@ -119,16 +119,21 @@ def label_key(c: Column) -> Column:
 
 
 def label_table(df: DataFrame, column: str) -> DataFrame:
-    """key, label: each comparison form of a label column, with its most frequent spelling; acronyms (initials of all
-    words, or of the longer ones) lead to the one name that has them.  Rows shrink to distinct spellings first."""
+    """key, label: each comparison form of a label column, with its most frequent spelling.
+
+    A form of one short word is an acronym where exactly one name fits: its letters follow one another in the name, and
+    the initials of the name's longer words follow one another in it.  Rows shrink to distinct spellings first; forms and
+    names then meet by their first letter."""
     forms = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("n")).select(F.col(column).alias("form"), "n", label_key(F.col(column)).alias("key")).where("key <> ''")
     names = forms.groupBy("key").agg(F.max_by("form", F.struct("n", "form")).alias("label"))
     words = F.split("key", " ")
-    initials = F.array_join(F.transform(words, lambda w: F.substring(w, 1, 1)), "")
-    longer = F.array_join(F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.substring(w, 1, 1)), "")
-    short = names.where(F.size(words) > 1).select(F.explode(F.array_distinct(F.array(initials, longer))).alias("acronym"), F.col("key").alias("name_key"), F.col("label").alias("name"))
-    short = short.groupBy("acronym").agg(F.count("*").alias("n"), F.max("name").alias("name")).where("n = 1")
-    return names.join(short, names.key == short.acronym, "left").select("key", F.trim(F.regexp_replace(F.coalesce("name", "label"), r"(?U)\s+", " ")).alias("label"))
+    initials = F.array_join(F.transform(F.filter(words, lambda w: F.length(w) > 3), lambda w: F.substring(w, 1, 1)), "")
+    long = names.where(F.size(words) > 1).select(F.substring("key", 1, 1).alias("first"), F.col("key").alias("name_key"), F.col("label").alias("name"), initials.alias("initials"))
+    short = names.where((F.size(words) == 1) & F.col("key").rlike(r"^[\p{L}]{2,6}$")).select(F.substring("key", 1, 1).alias("first"), F.col("key").alias("acronym"))
+    inside = lambda letters: F.concat(F.lit("^"), F.array_join(F.split(letters, ""), ".*"))
+    fits = F.rlike("name_key", inside(F.col("acronym"))) & F.rlike("acronym", inside(F.col("initials")))
+    told = short.join(long, "first").where(fits).groupBy("acronym").agg(F.count("*").alias("n"), F.max("name").alias("name")).where("n = 1")
+    return names.join(told, names.key == told.acronym, "left").select("key", F.trim(F.regexp_replace(F.coalesce("name", "label"), r"(?U)\s+", " ")).alias("label"))
 
 
 def token_totals(df: DataFrame, labels: dict[str, Column], text: str = "text", path: str | None = None) -> DataFrame:
