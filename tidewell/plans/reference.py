@@ -223,9 +223,10 @@ def _fused(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.fuse(dense.top(_dense(spark, sf), 50), second, "vec_id")
 
 
-@query(_RANKS + "SELECT vec_id, dense_rank, sparse_rank, round(score, 9) AS score FROM f")
+@query(_RANKS + "SELECT vec_id, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, round(score, 9) AS score FROM f")
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
-    return _fused(spark, sf).select("vec_id", "dense_rank", "sparse_rank", F.round("score", 9).alias("score"))
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "sparse_rank")]
+    return _fused(spark, sf).select("vec_id", *ranks, F.round("score", 9).alias("score"))
 
 
 @query(_RANKS + """, b AS (SELECT f.vec_id, label, round(CASE WHEN label IN (1, 2) THEN score * 2 ELSE score END, 9) AS score FROM f JOIN embeddings USING (vec_id))
@@ -363,9 +364,9 @@ def version_delta(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.delta_sizes(docs.where("lang = 'en'"), docs.where("domain = 'central_bank'"), "h")
 
 
-@query("""SELECT version_id, act, language, row_number() OVER (PARTITION BY act, language ORDER BY ingested_at DESC NULLS LAST, version_id) = 1 AS is_current, chunk_count - chunks_added AS unchanged FROM ingestion_runs""")
+@query("""SELECT version_id, act, language, row_number() OVER (PARTITION BY act, language ORDER BY ingested_at DESC NULLS LAST, version_id) = 1 AS is_current, coalesce(chunk_count - chunks_added, -1) AS unchanged FROM ingestion_runs""")
 def version_current(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.versions(table(spark, sf, "ingestion_runs")).select("version_id", "act", "language", "is_current", "unchanged")
+    return catalog.versions(table(spark, sf, "ingestion_runs")).select("version_id", "act", "language", "is_current", F.coalesce("unchanged", F.lit(-1)).alias("unchanged"))
 
 
 @query("SELECT act, language, version_id FROM ingestion_runs QUALIFY row_number() OVER (PARTITION BY act, language ORDER BY ingested_at DESC NULLS LAST, version_id DESC) = 1")
