@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidewell.llm.split import cuts, pieces, split_oversized
+from tidewell.llm.split import cuts, pieces, renumbered, split_oversized
 from tidewell.llm.tokens import clean_language, distinct_counts, estimate_tokens, label_table, token_counts, token_totals, tokenizer, wrong_counts, TOKENIZER_DIR, VOCABULARY
 
 CHUNK = "chunk_id string, doc_id string, text string, page_num int, chunk_idx int, h string"
@@ -55,6 +55,17 @@ def test_rows(spark):
     assert split_oversized(spark.createDataFrame([], CHUNK)).count() == 0
 
 
+def test_numbers_run_through_the_document(spark):
+    long = "word " * 1000
+    data = [("a", "d", "short", 1, 0, None), ("b", "d", long, 1, 1, None), ("b", "d", long, 1, 1, None), ("c", "d", None, 1, 2, None), ("e", "d", long, 1, 3, None), ("f", None, long, 1, None, None)]
+    df = spark.createDataFrame(data, CHUNK)
+    for block in (1, 2, 1024):
+        out = renumbered(df, split_oversized(df), block).collect()
+        n = sum(r["chunk_id"] == "b" for r in out)
+        assert n == 4 and sorted(r["chunk_idx"] for r in out if r["doc_id"] == "d") == [*range(1, 1 + n), *range(2 + n, 2 + 2 * n)]
+        assert sorted(r["chunk_idx"] for r in out if r["chunk_id"] == "f") == list(range(n))
+
+
 TEXTS = "id long, text string, h string, token_count int"
 
 

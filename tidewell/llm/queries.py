@@ -10,7 +10,7 @@ from tidewell.llm.leakage import leaked
 from tidewell.llm.packing import pack, utilisation
 from tidewell.llm.quality import STATS, junk_texts, text_quality
 from tidewell.llm.quantiles import percentiles
-from tidewell.llm.split import split_oversized
+from tidewell.llm.split import renumbered, split_oversized
 from tidewell.llm.tokens import clean_language, label_key, label_table, token_counts, token_totals, wrong_counts
 from tidewell.operators.units import harmonize_units
 from tidewell.session import table
@@ -21,7 +21,9 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
-    return split_oversized(table(spark, sf, "chunk"))
+    """Pieces of every oversized chunk, numbered through their document."""
+    chunks = table(spark, sf, "chunk")
+    return renumbered(chunks, split_oversized(chunks))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:

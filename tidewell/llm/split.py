@@ -12,10 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.distinct import as_strings, content_hash, distinct_by_hash
+from tidewell.session import materialize
 
 LIMIT, OVERLAP = 1600, 200
 _GAP = re.compile(r"\s+")
@@ -134,3 +135,25 @@ def split_oversized(df: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -
         F.col("chunk_id").cast("string"), F.col("doc_id").cast("string"), F.col("page_num").cast("int"), F.col("chunk_idx").cast("int"), "text",
     )
     return distinct_by_hash(long).mapInArrow(_cut(limit, overlap), _PIECES)
+
+
+def renumbered(df: DataFrame, cut: DataFrame, block: int = 1024) -> DataFrame:
+    """``cut`` (pieces of the chunks of ``df``) with ``chunk_idx`` counted through the whole document, where a chunk that
+    wasn't cut counts as one; ties of a document's chunks go by chunk_id.
+
+    The offsets are prefix sums in two levels, over blocks of chunk numbers and within them, so a document of any size
+    is spread over tasks; only keys and counts are moved.  ``cut`` is written once, as it is read twice."""
+    cut = materialize(cut)
+    counts = cut.groupBy("chunk_id", "doc_id", "source_chunk_idx").agg((F.max("chunk_idx") + 1).alias("n"))
+    keys = df.select(F.col("chunk_id").cast("string").alias("c"), F.col("doc_id").cast("string").alias("d"), F.col("chunk_idx").cast("int").alias("i")).distinct()
+    same = F.col("c").eqNullSafe(F.col("chunk_id")) & F.col("d").eqNullSafe(F.col("doc_id")) & F.col("i").eqNullSafe(F.col("source_chunk_idx"))
+    sized = keys.join(counts, same, "left").select("c", "d", "i", F.coalesce("n", F.lit(1)).alias("n"), F.floor(F.col("i") / block).alias("b"))
+    before = Window.partitionBy("d").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = sized.groupBy("d", "b").agg(F.sum("n").alias("s")).select(F.col("d").alias("bd"), F.col("b").alias("bb"), F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("d", "b").orderBy("i", "c").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.join(blocks, F.col("d").eqNullSafe(F.col("bd")) & F.col("b").eqNullSafe(F.col("bb"))).select(
+        "c", "d", "i", (F.col("base") + F.coalesce(F.sum("n").over(within), F.lit(0))).alias("offset")
+    )
+    return cut.join(placed, same).select(
+        "chunk_id", "doc_id", "source_chunk_idx", (F.col("offset") + F.col("chunk_idx")).cast("int").alias("chunk_idx"), "page_num", "overlap_chars", "text"
+    )
