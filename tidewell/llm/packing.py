@@ -77,21 +77,22 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: Capac
     rows = df.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("r"), content_hash(F.col(text)).alias("h"))
     shards = max(1, -(-df.count() // shard_items))
     sized = rows.join(distinct_counts(df, text, path).select("h", F.col("n_tokens").cast("int").alias("t")), "h").where("t > 0")
-    full = F.floor(F.col("t") / c.tokens).cast("int")
-    whole = sized.where(full > 0).select("k", "r", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece")).select(
-        F.format_string("f%d-%d", "r", "piece").alias("bin"), "k", "piece", (F.col("piece") * c.tokens).alias("token_start"), F.lit(c.tokens).alias("n_tokens")
+    # one stream of pieces: full sequences and rests alike, so that texts are tokenized for a single branch
+    pieces = sized.select("k", "r", "t", F.explode(F.sequence(F.lit(0), F.ceil(F.col("t") / c.tokens).cast("int") - 1)).alias("piece"))
+    items = pieces.select(
+        F.pmod(F.xxhash64("r", "piece"), F.lit(shards)).cast("int").alias("shard"), "k", "r", "piece", F.least(F.lit(c.tokens), F.col("t") - F.col("piece") * c.tokens).alias("n")
     )
-    items = sized.where(F.col("t") % c.tokens > 0).select(F.pmod(F.xxhash64("r"), F.lit(shards)).cast("int").alias("shard"), "k", "r", full.alias("piece"), (F.col("t") % c.tokens).alias("n"))
     kind = df.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "r"], ascending=[False, True], kind="stable")
-        bins, _ = best_fit(pdf["n"].to_numpy(), c)
+        pdf = pdf.sort_values(["n", "r", "piece"], ascending=[False, True, True], kind="stable")
+        n = pdf["n"].to_numpy()
+        whole = int((n == c.tokens).sum())  # full sequences come first and stand alone
+        bins = np.concatenate([np.arange(whole), whole + best_fit(n[whole:], c)[0]])
         shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame({"bin": [f"s{shard}-{b}" for b in bins], "k": pdf["k"].to_numpy(), "piece": pdf["piece"].to_numpy(), "token_start": pdf["piece"].to_numpy() * c.tokens, "n_tokens": pdf["n"].to_numpy()})
+        return pd.DataFrame({"bin": [f"s{shard}-{b}" for b in bins], "k": pdf["k"].to_numpy(), "piece": pdf["piece"].to_numpy(), "token_start": pdf["piece"].to_numpy() * c.tokens, "n_tokens": n})
 
-    packed = items.groupBy("shard").applyInPandas(one, f"bin string, k {kind}, piece int, token_start int, n_tokens int")
-    return packed.unionByName(whole).withColumnRenamed("k", key)
+    return items.groupBy("shard").applyInPandas(one, f"bin string, k {kind}, piece int, token_start int, n_tokens int").withColumnRenamed("k", key)
 
 
 def utilisation(packed: DataFrame, capacity: Capacity | None = None) -> DataFrame:
