@@ -31,7 +31,8 @@ class LeakRules:
     """share: of an item's words that must stand in the document; seed: words of a seed; bound: the seed coverage from
     which a pair is tiled (under ``share``, as altered words break seeds); least: words of the shortest tile; stretch:
     words of the shortest stretch that counts; stock: a seed that this many items have is a stock phrase, and at least
-    half of the share must come from stretches outside of stock phrases; block: items in one scan."""
+    half of the share must come from stretches outside of stock phrases; block, block_chars: items and characters in one
+    scan, which bound the index."""
 
     share: float = 0.4
     seed: int = 5
@@ -40,6 +41,7 @@ class LeakRules:
     stretch: int = 10
     stock: int = 3
     block: int = 2000
+    block_chars: int = 8_000_000
 
 
 def normal_words(text: str) -> list[bytes] | list[str]:
@@ -223,8 +225,8 @@ def _scan(index, key_type: pa.DataType):
 def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", passage: str = "passage", rules: LeakRules | None = None) -> DataFrame:
     """item, key, coverage: documents with the items that leaked into them, and the share of the item's words found.
 
-    The items are a stated set against all documents: they are read in blocks of ``rules.block``, each of which makes
-    one index (about a kilobyte an item) and one scan, so neither driver nor workers hold more than a block.  Documents
+    The items are a stated set against all documents: they are read in blocks of ``rules.block`` items or
+    ``rules.block_chars`` characters, each of which makes one index (some ten bytes a character) and one scan, so neither driver nor workers hold more than a block.  Documents
     are scanned where they lie, without a shuffle; copies are each reported.  Null or blank texts and passages, and passages
     shorter than a stretch, match nothing; repeated items are one.  Keys may be null; extra columns are ignored."""
     from pyspark.sql.pandas.types import to_arrow_type
@@ -235,6 +237,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     source = docs.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key), F.col(text))
     parts: list[DataFrame] = []
     block: list[tuple[int, str]] = []
+    size = 0
 
     def scan() -> None:
         index = spark.sparkContext.broadcast(SeedIndex(block, rules))
@@ -242,9 +245,10 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
 
     for row in items.where(F.col(passage).isNotNull()).select(F.col(item).cast("long"), passage).distinct().orderBy(item, passage).toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == rules.block:
+        size += len(row[1])
+        if len(block) == rules.block or size >= rules.block_chars:
             scan()
-            block = []
+            block, size = [], 0
     if block or not parts:
         scan()
     out = parts[0]
