@@ -25,14 +25,14 @@ from tidewell.operators.units import harmonize_units
 
 @dataclass(frozen=True)
 class SpikeRules:
-    """fold: a spike lies more than this factor off the level; scatter: and this many estimated standard deviations (7.5 for eight true ones, as the estimate itself scatters) of the
+    """fold: a spike lies more than this factor off the level; scatter: and this many estimated standard deviations (seven for eight true ones, as both the estimate and the readings scatter) of the
     series' logarithm; both sides: and at least this share of the fold off the levels before and after alike; side:
     samples on either side that make the level; stuck: consecutive samples with one recorded value; floor_share,
     floor_runs: the share of the samples and the number of separate runs from which on a repeated low value is the
     series' floor."""
 
     fold: float = 4.0
-    scatter: float = 7.5
+    scatter: float = 7.0
     both: float = 0.8
     side: int = 3
     stuck: int = 6
