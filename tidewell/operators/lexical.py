@@ -5,12 +5,16 @@ is filtered to the query's, so what is shuffled is in proportion to matches, not
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import search_tokens, term_tokens, with_bigrams
+from tidewell.session import materialize, spread
 
 
 @dataclass(frozen=True)
@@ -25,7 +29,7 @@ class Bm25:
 def document_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, dl, tokens."""
     t = search_tokens(text)
-    return docs.where(F.col(text).isNotNull()).select(F.col(key), F.size(t).alias("dl"), t.alias("tokens"))
+    return spread(docs.where(F.col(text).isNotNull()).select(key, text)).select(F.col(key), F.size(t).alias("dl"), t.alias("tokens"))
 
 
 def term_stats(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -65,10 +69,36 @@ def capped_top(scores: DataFrame, group: Column, order: list[Column], per_group:
     return scores.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_group).drop("__rn").orderBy(*order).limit(limit)
 
 
+def _count_grams(key_type: pa.DataType):
+    """1- and 2-grams of each document with their counts, counted where the document is: what leaves the task is one row
+    for each distinct gram, and needs no shuffle by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, terms, counts = [], [], []
+            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                many = Counter(tokens)
+                many.update(map(" ".join, zip(tokens, tokens[1:])))
+                keys += [key] * len(many)
+                terms += many.keys()
+                counts += many.values()
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["key", "term", "tf"])
+
+    return run
+
+
+def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, tf of every document's 1- and 2-grams."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kind = docs.schema[key].dataType
+    tokens = spread(docs.where(F.col(text).isNotNull()).select(key, text)).select(key, term_tokens(text).alias("tokens"))
+    return tokens.mapInArrow(_count_grams(to_arrow_type(kind)), f"key {kind.simpleString()}, term string, tf long").withColumnRenamed("key", key)
+
+
 def vocabulary(docs: DataFrame, key: str, text: str, min_df: int = 2, most: int | None = 100_000) -> DataFrame:
     """term, df, total: 1- and 2-grams of at least ``min_df`` documents, the ``most`` frequent of them."""
-    grams = docs.where(F.col(text).isNotNull()).select(F.col(key), F.explode(with_bigrams(term_tokens(text))).alias("term"))
-    v = grams.groupBy("term", key).agg(F.count("*").alias("tf")).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
+    v = gram_counts(docs, key, text).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     return v if most is None else v.orderBy(F.desc("total"), "term").limit(most)
 
 
@@ -79,16 +109,17 @@ def tfidf_scores(docs: DataFrame, query: str, key: str = "doc_id", text: str = "
     spark = docs.sparkSession
     held = docs.where(F.col(text).isNotNull())
     n = held.agg(F.count("*").alias("n_docs"))
-    grams = held.select(F.col(key), F.explode(with_bigrams(term_tokens(text))).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    # written once: document frequencies, norms and the query's weights each read the columns they need
+    grams = materialize(gram_counts(docs, key, text))
     v = grams.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df)
     if most is not None:
         v = v.orderBy(F.desc("total"), "term").limit(most)
     idf = v.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weights = grams.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
-    norms = weights.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weight = (1 + F.log("tf")) * F.col("idf")
     q = spark.createDataFrame([(query,)], "q string").select(F.explode(with_bigrams(term_tokens("q"))).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
-    q = q.join(idf, "term").select("term", ((1 + F.log("tf")) * F.col("idf")).alias("wq"))
+    q = q.join(idf, "term").select("term", "idf", weight.alias("wq"))
     qn = q.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
-    return weights.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(F.col("w") * F.col("wq")).alias("dot")).join(norms, key).join(F.broadcast(qn)).select(
-        key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score")
-    )
+    # only the query's terms meet here, and only documents that have one need a norm
+    dots = grams.join(F.broadcast(q), "term").groupBy(key).agg(F.sum(weight * F.col("wq")).alias("dot"))
+    norms = grams.join(idf, "term").groupBy(key).agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+    return dots.join(norms, key).join(F.broadcast(qn)).select(key, (F.col("dot") / (F.col("norm") * F.col("qnorm"))).alias("score"))

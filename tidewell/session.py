@@ -49,6 +49,13 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores: for steps of much CPU over a table that lies in
+    few row groups.  A table of more partitions than cores, as any large one is, stays where it lies, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 _shipped: set[str] = set()
 
 
