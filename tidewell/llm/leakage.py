@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.distinct import as_strings
+from tidewell.session import spread
 
 _DROP = bytes(c for c in range(128) if not (chr(c).isalnum() or chr(c).isspace()))
 _LETTER = re.compile(r"[^\W\x00-\x7f]")
@@ -234,7 +235,7 @@ def leaked(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     rules = rules or LeakRules()
     spark = docs.sparkSession
     kind = docs.schema[key].dataType
-    source = docs.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key), F.col(text))
+    source = spread(docs.where(F.col(text).isNotNull() & (F.length(F.trim(text)) > 0)).select(F.col(key), F.col(text)))
     parts: list[DataFrame] = []
     block: list[tuple[int, str]] = []
     size = 0

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.boosting import Boosted
 from tidewell.llm.distinct import as_strings
 from tidewell.llm.holdout import labelled
+from tidewell.session import spread
 
 #: Words of grammar of four languages.  Those that also tie terms together ('de', 'of', 'du', 'del') are left out.
 COMMON = frozenset(
@@ -137,7 +138,7 @@ def _describe(key_type: pa.DataType, model: Boosted | None = None):
 
 def _texts(df: DataFrame, key: str, text: str) -> DataFrame:
     """Rows with a text that isn't blank, in Unicode's sense of white space."""
-    return df.where(F.col(text).isNotNull() & F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("k"), F.col(text).alias("text"))
+    return spread(df.where(F.col(text).isNotNull() & F.col(text).rlike(r"(?U)\S")).select(F.col(key).alias("k"), F.col(text).alias("text")))
 
 
 def text_statistics(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
