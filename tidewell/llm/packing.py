@@ -92,7 +92,9 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: Capac
         shard = int(pdf["shard"].iloc[0])
         return pd.DataFrame({"bin": [f"s{shard}-{b}" for b in bins], "k": pdf["k"].to_numpy(), "piece": pdf["piece"].to_numpy(), "token_start": pdf["piece"].to_numpy() * c.tokens, "n_tokens": n})
 
-    return items.groupBy("shard").applyInPandas(one, f"bin string, k {kind}, piece int, token_start int, n_tokens int").withColumnRenamed("k", key)
+    # a stated number of partitions, as shards are small in bytes and would be coalesced into few tasks
+    tasks = min(shards, max(200, shards // 64))
+    return items.repartition(tasks, "shard").groupBy("shard").applyInPandas(one, f"bin string, k {kind}, piece int, token_start int, n_tokens int").withColumnRenamed("k", key)
 
 
 def utilisation(packed: DataFrame, capacity: Capacity | None = None) -> DataFrame:
