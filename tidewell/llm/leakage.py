@@ -168,22 +168,24 @@ def tile(item: np.ndarray, text: np.ndarray, least: int, stretch: int) -> np.nda
 
     queue = [(-n, i, j) for n, i, j in matches(item, text, least)]
     heapq.heapify(queue)
-    used_i, used_j = np.zeros(len(item), bool), np.zeros(len(text), bool)
+    used_i, used_j = bytearray(len(item)), bytearray(len(text))
     tiles: list[tuple[int, int, int]] = []
     while queue:
         n, i, j = heapq.heappop(queue)
         n = -n
-        free = ~(used_i[i : i + n] | used_j[j : j + n])
-        if free.all():
-            used_i[i : i + n] = True
-            used_j[j : j + n] = True
+        if 1 not in used_i[i : i + n] and 1 not in used_j[j : j + n]:
+            used_i[i : i + n] = used_j[j : j + n] = b"\1" * n
             tiles.append((i, j, n))
             continue
         # partly marked: what is left of it goes back in line
-        edge = np.flatnonzero(np.diff(np.r_[False, free, False].astype(np.int8)))
-        for s, e in zip(edge[::2], edge[1::2]):
-            if e - s >= least:
-                heapq.heappush(queue, (-int(e - s), i + int(s), j + int(s)))
+        free = 0
+        for k in range(n + 1):
+            if k < n and not used_i[i + k] and not used_j[j + k]:
+                free += 1
+            else:
+                if free >= least:
+                    heapq.heappush(queue, (-free, i + k - free, j + k - free))
+                free = 0
     tiles.sort()
     marked = np.zeros(len(item), bool)
     k = 0
