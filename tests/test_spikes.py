@@ -59,6 +59,37 @@ def test_floor_is_no_case_but_a_rare_zero_is():
     assert cases(c) == set()
 
 
+def test_long_stuck_run_with_two_chance_near_equals_is_no_floor():
+    c = series()
+    x = float(10 ** np.round(np.log10(np.sort(c)[45]), 3))  # under the median, in the middle of a bin of three places
+    c[40:50] = x
+    c[10], c[100] = x * 1.0003, x * 0.9997
+    assert cases(c) == set(range(40, 50))
+    c[10], c[100] = x, x
+    assert cases(c) == set(range(40, 50))
+
+
+def test_chance_repeats_of_an_ordinary_value_are_no_floor():
+    c = series()
+    x = float(np.sort(c)[30])
+    c[[10, 40, 70, 85, 100]] = x
+    c[20:27] = x
+    assert cases(c) == set(range(20, 27))
+
+
+def test_floor_with_long_runs_is_no_case():
+    c = series()
+    x = float(c.min()) / 1.2
+    for a, b in ((5, 14), (50, 58), (90, 99)):
+        c[a:b] = x
+    assert cases(c) == set()
+    c = series()
+    c[::6], c[30:40] = x, x
+    c[61:67] *= 1.0 + 1e-9 * np.arange(6)
+    c[72] = x * 1.0001  # the floor in rounded figures of another unit
+    assert cases(c) == set()
+
+
 def test_short_series_do_not_crash():
     for n in range(1, 6):
         assert cases(series(n)) == set()

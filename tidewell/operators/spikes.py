@@ -28,8 +28,10 @@ class SpikeRules:
     """fold: a spike lies more than this factor off the level; scatter: and this many estimated standard deviations (seven for eight true ones, as both the estimate and the readings scatter) of the
     series' logarithm; both sides: and at least this share of the fold off the levels before and after alike; side:
     samples on either side that make the level; stuck: consecutive samples with one recorded value; floor_share,
-    floor_runs: the share of the samples and the number of separate runs from which on a repeated low value is the
-    series' floor."""
+    floor_runs: the share of the samples and the number of separate runs, stuck ones not counted, from which on a
+    repeated low value is the series' floor; floor_under: the share of the samples (or two) that may lie under it; same:
+    relative difference of common values that are one; rounding: that of a floor restated in another unit, in rounded
+    figures or logarithms of four places."""
 
     fold: float = 4.0
     scatter: float = 7.0
@@ -38,6 +40,9 @@ class SpikeRules:
     stuck: int = 6
     floor_share: float = 0.04
     floor_runs: int = 3
+    floor_under: float = 0.02
+    same: float = 1e-6
+    rounding: float = 3e-4
     first: str = "2022-01-03"
     last: str = "2025-12-28"
 
@@ -85,6 +90,14 @@ def phase_space(u: np.ndarray) -> np.ndarray:
     return out | ((u / s0) ** 2 + (d2 / s2) ** 2 > 1)
 
 
+def _repeated(c: np.ndarray, same: float) -> list[np.ndarray]:
+    """Places, in order, of each value that three or more samples have; from the lowest value on, without negative ones."""
+    at = np.flatnonzero(c >= 0)
+    at = at[np.argsort(c[at], kind="stable")]
+    groups = np.split(at, np.flatnonzero(np.diff(c[at]) > same * c[at][1:]) + 1)
+    return [np.sort(g) for g in groups if len(g) >= 3]
+
+
 def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, ...]:
     """Bounds of one series, in order of its samples.
 
@@ -97,20 +110,25 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
         l = np.where(c > 0, np.log10(np.where(c > 0, c, 1.0)), np.nan)
     rid = np.cumsum(np.r_[True, v[1:] != v[:-1]]) - 1
     run = np.bincount(rid)[rid]
-    key = np.where(c > 0, np.round(l, 3), np.where(c == 0, -1e6, np.nan))
     floor = np.zeros(n, bool)
-    zero_floor = False
     middle = float(np.median(l[np.isfinite(l)])) if np.isfinite(l).any() else 0.0
-    values, counts = np.unique(key[~np.isnan(key)], return_counts=True)
     floors: list[float] = []
-    for value, count in zip(values, counts):
-        if count < max(3, rules.floor_share * n) or value > middle:
+    for own in _repeated(c, rules.same):
+        value = float(c[own[0]])
+        long = run[own] >= rules.stuck
+        # a stuck run is no evidence that its value is the floor (only of how long it lasted); three of them are, as a
+        # fault doesn't repeat its value
+        at = own if len(np.unique(rid[own[long]])) >= rules.floor_runs else own[~long]
+        if len(at) < max(3, rules.floor_share * (n - len(own) + len(at))) or (value > 0 and np.log10(value) > middle):
+            continue
+        # samples of lower floors and of stuck runs say nothing about what is low
+        under = np.count_nonzero((c >= 0) & (c < value * (1 - rules.rounding)) & ~floor & (run < rules.stuck))
+        if under > max(2, rules.floor_under * n):
             continue
-        at = np.flatnonzero(key == value)
-        if len(np.unique(rid[at])) >= rules.floor_runs and at[-1] - at[0] >= n / 3:
+        if 1 + np.count_nonzero(np.diff(at) > 1) >= rules.floor_runs and own[-1] - own[0] >= n / 3:
             floors.append(value)
-            zero_floor |= value == -1e6
-            floor |= (key == value) | (np.abs(l - value) <= 1.5e-3)
+            floor |= np.abs(c - value) <= rules.rounding * value
+    zero_floor = 0.0 in floors
     stuck = (run >= rules.stuck) & ~floor
 
     fold = np.log10(rules.fold)
@@ -147,7 +165,7 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         lo, hi = np.where(np.isnan(lo), -np.inf, 10.0**lo), np.where(np.isnan(hi), np.inf, 10.0**hi)
         if floors:
-            lowest = 0.0 if zero_floor else 10.0 ** (min(floors) - 2e-3)
+            lowest = min(floors) * (1 - rules.rounding)
             # a day with a floor reading admits it; other days keep their bound for readings under the floor
             lo = np.where(floor, np.minimum(lo, lowest), lo)
             if zero_floor:
