@@ -23,23 +23,28 @@ def regular_weeks(
     first: str = "2022-01-03",
     last: str = "2025-12-28",
     shard: int = 26,
+    averaged: str | None = None,
 ) -> DataFrame:
     """One row per series and week from its first to its last reading.
 
     Columns: source, target (trimmed, lower case), ``week_start`` (a Monday, yyyy-MM-dd), ``n_readings``,
     ``value_mean`` (null without a reading), ``value_filled`` (the mean, else linear between the readings on either
     side), ``value_carried`` (the mean, else the last one before) and ``is_missing``.  A reading has a value that is
-    neither null nor NaN and a readable date in [first, last].  A null source or target is a series of its own; repeats
+    neither null nor NaN and a readable date in [first, last].  The values are those of ``averaged`` (of ``value`` if not
+    named); series mix units and scales, so it must be in the common unit wherever values are used.  A reading for which
+    it is null counts, but adds nothing to the mean; a week of such readings only has null values, as have gaps that
+    would be filled from it.  A null source or target is a series of its own; repeats
     count as readings of their week; a series of one week has one row; an empty table gives an empty result.  Extra
     columns are ignored."""
     day = any_date(date, first, last)
     v = F.col(value).cast("double")
+    c = F.col(averaged or value).cast("double")
     origin = F.lit(first).cast("date")
     start = F.date_sub(origin, F.weekday(origin))
     readings = df.select(
-        F.col(source).alias("__s"), F.lower(F.trim(target)).alias("__t"), F.floor(F.datediff(week_start(day), start) / 7).cast("int").alias("w"), v.alias("v")
+        F.col(source).alias("__s"), F.lower(F.trim(target)).alias("__t"), F.floor(F.datediff(week_start(day), start) / 7).cast("int").alias("w"), v.alias("v"), c.alias("c")
     ).where(F.col("w").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
-    weekly = readings.groupBy("__s", "__t", "w").agg(F.count("*").alias("n"), F.avg("v").alias("v"))
+    weekly = readings.groupBy("__s", "__t", "w").agg(F.count("*").alias("n"), F.avg("c").alias("v"))
     shards = weekly.groupBy("__s", "__t", F.floor(F.col("w") / shard).cast("int").alias("shard")).agg(
         F.array_sort(F.collect_list(F.struct("w", "n", "v"))).alias("weeks")
     )

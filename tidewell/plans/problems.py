@@ -36,11 +36,17 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole weekly grid; means rounded to six digits of a mantissa-free decimal for comparison."""
+    """The whole weekly grid with the readings of each week, weeks without one marked; ``p3_filled`` has the values."""
     g = regular_weeks(table(spark, sf, "canonical"))
     return g.select("key_plot_id", "target_name", "week_start", "n_readings", "is_missing")
 
 
+def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole weekly grid with means in the common unit, filled and carried over weeks without a reading."""
+    g = regular_weeks(harmonize_units(table(spark, sf, "canonical"), assume_common=True), averaged="common_value")
+    return g.select("key_plot_id", "target_name", "week_start", "n_readings", "is_missing", "value_mean", "value_filled", "value_carried")
+
+
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return off_unit_rows(table(spark, sf, "canonical")).select("row_id", "common_unit").distinct()
 
@@ -51,7 +57,7 @@ def p4_converted(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("common_value is not null").select("row_id", "common_unit", F.col("common_value").alias("common_value"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p2_found, p2_counts, p3_found, p3_grid, p4_found, p4_converted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p2_found, p2_counts, p3_found, p3_grid, p3_filled, p4_found, p4_converted)}
 
 _RUNS = r"""WITH d AS (SELECT DISTINCT version_id FROM statute_chunk WHERE version_id IS NOT NULL),
     r AS (SELECT version_id, lag(version_id) OVER w AS prev FROM ingestion_runs JOIN d USING (version_id) WINDOW w AS (PARTITION BY act, language ORDER BY try_cast(ingested_at AS TIMESTAMPTZ) NULLS FIRST, version_id)),
