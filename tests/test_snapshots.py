@@ -43,6 +43,21 @@ def test_against_brute_force(spark):
     assert change_counts(got).count() > 0
 
 
+def test_change_in_one_of_many_rows_of_a_key(spark, tmp_path):
+    runs = [("v1", "A", "en", "2024-01-01T00:00:00+00:00", "x"), ("v2", "A", "en", "2024-02-01T00:00:00+00:00", "x")]
+    rows = [("v1", f"s.{c}", f"text {c} {k}", "1", "A", None, "e") for c in range(40) for k in range(12)]
+    # in one row of each key but the last ten: another text, one row less, or one row more
+    rows += [("v2", f"s.{c}", f"text {c} {k}" + (" new" if c < 10 and k == c else ""), "1", "A", None, "e") for c in range(40) for k in range(12) if not (10 <= c < 20 and k == c - 10)]
+    rows += [("v2", f"s.{c}", f"text {c} more", "1", "A", None, "e") for c in range(20, 30)]
+    rows += [("v2", "s.39", "text 39 5", "1", "A", None, "e")] * 2  # repeats are no change
+    df = spark.createDataFrame(rows, ROWS)
+    got = {tuple(r) for r in snapshot_changes(df, spark.createDataFrame(runs, RUNS)).select("version_id", "citation", "change").collect()}
+    assert got == brute(rows, runs) == {("v2", f"s.{c}", "changed") for c in range(30)}
+    index = SnapshotIndex(spark, str(tmp_path / "i"), ["citation"], ["text", "part"], buckets=4)
+    index.swap(df.where("version_id = 'v1'"))
+    assert {tuple(r) for r in index.probe(df.where("version_id = 'v2'")).select("citation", "change").collect()} == {(f"s.{c}", "changed") for c in range(30)}
+
+
 def test_empty_tables(spark):
     assert snapshot_changes(spark.createDataFrame([], ROWS), spark.createDataFrame([], RUNS)).count() == 0
 

@@ -29,14 +29,15 @@ def row_hash(*columns: Column) -> Column:
 def key_index(df: DataFrame, keys: list[str], compared: list[Column], at: list[str] | None = None) -> DataFrame:
     """One row for each key (and each snapshot named by ``at``): its hash.
 
-    Exact repeats fall together.  Where a snapshot has a key more than once with different values, the hash covers the
-    sorted distinct hashes, by way of their sum and extremes, so the order of delivery means nothing."""
+    Exact repeats fall together.  Where a snapshot has a key more than once with different values, the hash covers all
+    of its distinct rows, by way of their number and the exclusive or of their hashes, so the order of delivery means
+    nothing and no key needs more than a fixed state."""
     h = row_hash(*compared)
     rows = df.select(*[F.col(x) for x in [*(at or []), *keys]], F.unhex(h).alias("h")).select(
         *(at or []), *keys, F.conv(F.substring(F.hex("h"), 1, 15), 16, 10).cast("long").alias("h1"), F.conv(F.substring(F.hex("h"), 16, 15), 16, 10).cast("long").alias("h2")
     )
-    return rows.groupBy(*(at or []), *keys).agg(
-        F.min("h1").alias("h1"), F.max("h1").alias("g1"), F.min("h2").alias("h2"), F.max("h2").alias("g2")
+    return rows.distinct().groupBy(*(at or []), *keys).agg(
+        F.count("*").alias("n"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2")
     )
 
 
@@ -80,7 +81,7 @@ class SnapshotIndex:
 
 def compare(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """Probe the old index with the new one; null keys match null keys."""
-    hashes = ["h1", "g1", "h2", "g2"]
+    hashes = ["n", "h1", "h2"]
     o = old.select(*keys, *(F.col(h).alias(f"o_{h}") for h in hashes))
     n = new.select(*(F.col(k).alias(f"n_{k}") for k in keys), *hashes)
     on = [F.col(k).eqNullSafe(F.col(f"n_{k}")) for k in keys]
