@@ -4,7 +4,8 @@ A snapshot's index holds, for each key, 128 bits of hash over its compared colum
 is probed against the index of the one before it: keys only in the index were removed, keys only in the new rows were
 added, keys with another hash changed.  Old values are fetched for changed keys only, and the new index then takes the
 old one's place.  :class:`SnapshotIndex` does this for one pair of tables kept on storage; :func:`snapshot_changes`
-derives every run of a history in one plan, where the index of each run is addressed to its successor.
+derives every run of a history in one plan, where the index of each run is addressed to its successor.  The queries use
+the latter, an equi-join without buckets, fetch and swap.
 """
 
 from __future__ import annotations
