@@ -54,6 +54,32 @@ def test_normal_words():
     assert normal_words("Ω œuvre été")[-1] == b"ete" and normal_words("") == []
 
 
+def test_copies_without_five_intact_words(spark):
+    rng = random.Random(3)
+    p = [prose(100, rng) for _ in range(3)]
+    fifth = [w if k % 5 else "zzz" for k, w in enumerate(p[0])]
+    part = [w if k % 4 else "zzz" for k, w in enumerate(p[1][:60])]
+    docs = [(1, " ".join(prose(80, rng) + fifth + prose(80, rng))), (2, " ".join(prose(80, rng) + part)), (3, " ".join(w if k % 3 else "zzz" for k, w in enumerate(p[2])))]
+    items = [(i + 1, " ".join(x)) for i, x in enumerate(p)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    assert {(r["item_id"], r["doc_id"]) for r in leaked(d, i).collect()} == {(1, 1), (2, 2)}
+
+
+@pytest.mark.parametrize("pairs", [1, 50, 1_000_000])
+def test_every_pair_that_tiles_to_the_share_is_scanned(pairs):
+    rng = random.Random(5)
+    few = VOCAB[:12]  # chance seeds everywhere
+    items = [(i, " ".join(rng.choice(few) for _ in range(40))) for i in range(12)]
+    texts = []
+    for _ in range(60):
+        words = rng.choice(items)[1].split()
+        texts.append(" ".join(w if rng.random() > 0.25 else rng.choice(VOCAB) for w in words))
+    index = SeedIndex(items, LeakRules(pairs=pairs))
+    scanned = {(d, i): ids for d, i, ids in index.scan(texts)}
+    whole = {(d, i) for d, t in enumerate(texts) for i in range(len(items)) if index.coverage(i, np.array([index.vocabulary.get(w, 0) for w in normal_words(t)]))[0] >= 0.4}
+    assert whole and whole <= set(scanned)
+
+
 def test_leaks(spark):
     rng = random.Random(1)
     items = [(i, " ".join(prose(100, rng))) for i in range(1, 8)]

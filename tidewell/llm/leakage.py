@@ -1,8 +1,9 @@
 """Evaluation texts inside training texts (problem 9): greedy string tiling.
 
 Every document is scanned once, against one block of test items at a time; the block's seeds (word n-grams) are an
-index of proven size that each worker holds.  Seeds shared with a document bound, for each item, how much of it can be
-covered; pairs whose bound is too low end there.  The rest are tiled: longest common stretches first, by running
+index of proven size that each worker holds.  A seed is as short as a tile may be, so the words in shared seeds, joined
+over single other words as tiles are, bound from above how much of an item tiling can cover; pairs whose bound is too low
+end there, and none of them is a case.  The rest are tiled: longest common stretches first, by running
 Karp-Rabin over word ids, each word marked once on either side, until no match of ``least`` words is left.  Tiles that a single
 altered, added or missing word parts are one stretch; stretches under ``stretch`` words are phrases and don't count.
 """
@@ -29,20 +30,20 @@ _MARKED = re.compile(r"[^\w\s]|_")
 
 @dataclass(frozen=True)
 class LeakRules:
-    """share: of an item's words that must stand in the document; seed: words of a seed; bound: the seed coverage from
-    which a pair is tiled (under ``share``, as altered words break seeds); least: words of the shortest tile; stretch:
-    words of the shortest stretch that counts; stock: a seed that this many items have is a stock phrase, and at least
-    half of the share must come from stretches outside of stock phrases; block, block_chars: items and characters in one
-    scan, which bound the index."""
+    """share: of an item's words that must stand in the document; seed: words of a phrase that can be stock; least: words
+    of the shortest tile, and of the seeds that lead to pairs; stretch: words of the shortest stretch that counts; stock:
+    a phrase that this many items have is a stock phrase, and at least half of the share must come from stretches outside
+    of stock phrases; block, block_chars: items and characters in one scan, which bound the index; pairs: places of
+    shared seeds that are looked at together, which bounds the memory of a scan."""
 
     share: float = 0.4
     seed: int = 5
-    bound: float = 0.3
     least: int = 3
     stretch: int = 10
     stock: int = 3
     block: int = 2000
     block_chars: int = 8_000_000
+    pairs: int = 1_000_000
 
 
 def normal_words(text: str) -> list[bytes] | list[str]:
@@ -63,7 +64,18 @@ class SeedIndex:
         self.ids = [np.array([self.vocabulary[w] for w in x], np.int64) for x in words]
         self.lengths = np.array([len(x) for x in self.ids], np.int64)
         self.start = np.r_[0, np.cumsum(self.lengths)]
-        n = rules.seed
+        self.keys, self.places, self.owners = self._grams(rules.least)
+        self.unique, self.first, self.count = np.unique(self.keys, return_index=True, return_counts=True)
+        # words inside of phrases that several items share
+        self.stock = np.zeros(self.start[-1], bool)
+        keys, places, owners = self._grams(rules.seed)
+        for f, c in zip(*np.unique(keys, return_index=True, return_counts=True)[1:]):
+            if c >= rules.stock and len(set(owners[f : f + c])) >= rules.stock:
+                for at in places[f : f + c]:
+                    self.stock[at : at + rules.seed] = True
+
+    def _grams(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every n words of the items, by hash: (hash, place, item)."""
         keys, places, owners = [], [], []
         for i, x in enumerate(self.ids):
             if len(x) >= n:
@@ -72,18 +84,11 @@ class SeedIndex:
                 owners.append(np.full(len(x) - n + 1, i))
         k, p, o = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((keys, np.uint64), (places, np.int64), (owners, np.int64)))
         order = np.argsort(k, kind="stable")
-        self.keys, self.places, self.owners = k[order], p[order], o[order]
-        self.unique, self.first, self.count = np.unique(self.keys, return_index=True, return_counts=True)
-        # words inside of phrases that several items share
-        self.stock = np.zeros(self.start[-1], bool)
-        for f, c in zip(self.first, self.count):
-            if c >= rules.stock and len(set(self.owners[f : f + c])) >= rules.stock:
-                for at in self.places[f : f + c]:
-                    self.stock[at : at + n] = True
+        return k[order], p[order], o[order]
 
     def scan(self, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
-        """(text, item, ids of the text) of the pairs whose seed coverage reaches the bound."""
-        n, get = self.rules.seed, self.vocabulary.get
+        """(text, item, ids of the text) of the pairs that tiling can bring to the share."""
+        n, get = self.rules.least, self.vocabulary.get
         out: list[tuple[int, int, np.ndarray]] = []
         if not len(self.unique):
             return out
@@ -108,16 +113,33 @@ class SeedIndex:
         document = np.searchsorted(offset, at, side="right") - 1
         pair = np.unique(np.stack([document, slot], 1), axis=0)
         reps = self.count[pair[:, 1]]
+        # whole texts at a time, up to some number of places
+        part = (np.cumsum(reps) - reps)[np.searchsorted(pair[:, 0], pair[:, 0])] // self.rules.pairs
+        for few in np.split(np.arange(len(pair)), np.flatnonzero(np.diff(part)) + 1):
+            out += [(d, item, ids[d]) for d, item in self._reach(pair[few], reps[few])]
+        return out
+
+    def _reach(self, pair: np.ndarray, reps: np.ndarray) -> list[tuple[int, int]]:
+        """(text, item) of the pairs whose bound reaches the share.
+
+        Words of tiles lie in seeds, and those of one stretch have at most one other word between them in the item.
+        So the item's words in seeds, joined over single words and without what joins to less than a stretch, hold all
+        that tiling can mark."""
+        n, rules = self.rules.least, self.rules
         spread = np.repeat(self.first[pair[:, 1]], reps) + (np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps))
         d, item, place = np.repeat(pair[:, 0], reps), self.owners[spread], self.places[spread]
-        order = np.lexsort((place, item, d))
+        order = np.lexsort((place, d * len(self.ids) + item))
         d, item, place = d[order], item[order], place[order]
         same = np.r_[(np.diff(d) == 0) & (np.diff(item) == 0), False]
-        adds = np.where(same, np.minimum(n, np.r_[np.diff(place), n]), n)
+        gap = np.r_[np.diff(place), 0]
+        joined = same & (gap <= n + 1)
+        begins = np.flatnonzero(np.r_[True, ~joined[:-1]])
+        words = np.add.reduceat(np.where(joined, np.minimum(n, gap), n), begins)
+        words[words < rules.stretch] = 0
         first = np.flatnonzero(np.r_[True, ~same[:-1]])
-        covered = np.add.reduceat(adds, first)
-        good = covered >= self.rules.bound * self.lengths[item[first]]
-        return [(int(a), int(b), ids[int(a)]) for a, b in zip(d[first][good], item[first][good])]
+        covered = np.add.reduceat(words, np.searchsorted(begins, first))
+        good = first[covered >= rules.share * self.lengths[item[first]] - 1e-9]
+        return [(int(a), int(b)) for a, b in zip(d[good], item[good])]
 
     def coverage(self, item: int, text: np.ndarray) -> tuple[float, float]:
         """Shares of the item's words in stretches of the text: of all, and of those outside of stock phrases."""
