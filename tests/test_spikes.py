@@ -95,6 +95,59 @@ def test_short_series_do_not_crash():
         assert cases(series(n)) == set()
 
 
+def spiked():
+    c = series(300, 7)
+    c[[20, 77, 150]] *= 30
+    c[200:202] /= 25
+    return c
+
+
+@pytest.mark.parametrize("answer", [True, False])
+def test_ellipsoids_decide(monkeypatch, answer):
+    """Neither an ellipsoid that all samples are outside of nor one that holds them all gives the spikes."""
+    c = spiked()
+    assert cases(c) == {20, 77, 150, 200, 201}
+    monkeypatch.setattr("tidewell.operators.spikes.phase_space", lambda u, *rest: np.full(len(u), answer))
+    assert cases(c) == set()
+
+
+def test_iteration_finds_a_spike_behind_larger_ones():
+    c = series(300, 7)
+    c[100:102] *= 1e6
+    c[104] *= 12
+    assert cases(c) == {100, 101, 104}
+
+
+def test_three_and_more_in_a_row_are_a_level_that_moved():
+    c = series(200, 3)
+    c[90:94] *= 15
+    assert cases(c) == set()
+
+
+def test_spike_beside_a_level_that_moves():
+    c = series(200, 3)
+    c[100:] *= 6
+    c[97] *= 40
+    assert cases(c) == {97}
+
+
+def test_floor_of_one_season_is_no_case():
+    c = series(240, 4)
+    x = float(c.min()) / 3
+    c[100:140:2] = x
+    c[120:128] = x
+    assert cases(c) == set()
+
+
+def test_correction_is_put_in_its_samples_place():
+    c = series()
+    low, high = c.copy(), c.copy()
+    high[40] *= 30  # a second reading of the day is off
+    high[60] *= 1.5
+    opened, lo, hi, _ = judge_series(c.copy(), c, low, high, SpikeRules())
+    assert {int(i) for i in np.flatnonzero(opened & (high > hi))} == {40}
+
+
 def test_phase_space_flags_a_jump():
     u = np.random.default_rng(0).normal(0, 1, 300)
     u[150] = 40

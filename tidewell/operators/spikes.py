@@ -2,8 +2,9 @@
 
 Three stages.  (1) Readings shrink to one row per series and day, by partial aggregation, so that a series that holds a
 third of all rows still reaches one task as no more rows than there are days in the window.  (2) Each series is judged
-in numpy: robust ellipsoids over the detrended logarithm and its first and second differences give spike candidates,
-again and again with the flagged samples taken out; an exact test then decides; zero-difference runs give stuck values.
+in numpy: robust ellipsoids over the detrended logarithm and its first and second differences flag spikes, again and
+again with the flagged samples taken out; what is inside makes the levels and the scatter, and only what is outside can be
+a case, on which the definition's bounds then decide; zero-difference runs give stuck values.
 The stage returns bounds only for the days on which some reading may lie outside of them.  (3) Rows are equi-joined
 with these bounds on series and day (a series' rows spread over its days), and each row is tested against them, so
 repeats and corrections are judged each by its own value.
@@ -25,21 +26,26 @@ from tidewell.operators.units import harmonize_units
 
 @dataclass(frozen=True)
 class SpikeRules:
-    """fold: a spike lies more than this factor off the level; scatter: and this many estimated standard deviations (seven for eight true ones, as both the estimate and the readings scatter) of the
-    series' logarithm; both sides: and at least this share of the fold off the levels before and after alike; side:
-    samples on either side that make the level; stuck: consecutive samples with one recorded value; floor_share,
-    floor_runs: the share of the samples and the number of separate runs, stuck ones not counted, from which on a
-    repeated low value is the series' floor; floor_under: the share of the samples (or two) that may lie under it; same:
-    relative difference of common values that are one; rounding: that of a floor restated in another unit, in rounded
-    figures or logarithms of four places."""
+    """fold: a spike lies more than this factor off the level; scatter: and at least this many standard deviations of the
+    series' logarithm; both: and at least this share of the fold off the levels before and after alike; side: samples on
+    either side that make the level; wide: factor of the ellipsoid's axes, as levels are estimates and ordinary samples
+    have to stay inside; rounds: of ellipsoids at most; stuck: consecutive samples with one
+    recorded value; floor_share, floor_runs: the share of the samples and the number of separate runs, stuck ones not
+    counted, from which on a repeated low value is the series' floor; floor_lowest: the number of samples, stuck runs not
+    counted, that make the lowest value the floor wherever they lie; floor_under: the share of the samples (or two) that
+    may lie under it; same: relative difference of common values that are one; rounding: that of a floor restated in
+    another unit, in rounded figures or logarithms of four places."""
 
     fold: float = 4.0
-    scatter: float = 7.0
+    scatter: float = 8.0
     both: float = 0.8
     side: int = 3
+    wide: float = 1.5
+    rounds: int = 8
     stuck: int = 6
     floor_share: float = 0.04
     floor_runs: int = 3
+    floor_lowest: int = 8
     floor_under: float = 0.02
     same: float = 1e-6
     rounding: float = 3e-4
@@ -68,26 +74,94 @@ def _nanmedian(x: np.ndarray) -> np.ndarray:
     return np.where(n > 0, (low + high) / 2, np.nan)
 
 
-def phase_space(u: np.ndarray) -> np.ndarray:
-    """Points of ``u`` that lie outside of the robust ellipsoid of (u, du, d2u) in one of its three planes."""
-    n = len(u)
-    if n < 4:
-        return np.ones(n, bool)
+@dataclass(frozen=True)
+class Ellipsoid:
+    """The robust ellipsoid of (u, du, d2u): semi-axes by the universal threshold times ``wide``, and the turn of the (u, d2u) plane."""
+
+    s0: float
+    s1: float
+    s2: float
+    theta: float
+
+    @classmethod
+    def of(cls, u: np.ndarray, wide: float = 1.0) -> Ellipsoid:
+        d1 = np.gradient(u)
+        d2 = np.gradient(d1)
+        limit = wide * np.sqrt(2 * np.log(len(u)))
+        theta = np.arctan2(float(u @ d2), float(u @ u)) if float(u @ u) else 0.0
+        return cls(*(max(_mad(x), 1e-9) * limit for x in (u, d1, d2)), theta)
+
+    def outside(self, u: np.ndarray, d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
+        """Whether points lie outside of the ellipsoid in one of its three planes."""
+        s0, s1, s2 = self.s0, self.s1, self.s2
+        out = (u / s0) ** 2 + (d1 / s1) ** 2 > 1
+        out |= (d1 / s1) ** 2 + (d2 / s2) ** 2 > 1
+        cos, sin = np.cos(self.theta), np.sin(self.theta)
+        a, b = u * cos + d2 * sin, d2 * cos - u * sin
+        c, s = cos**2, sin**2
+        det = c * c - s * s
+        if abs(det) > 1e-6:
+            sa2, sb2 = (s0**2 * c - s2**2 * s) / det, (s2**2 * c - s0**2 * s) / det
+            if sa2 > 0 and sb2 > 0:
+                return out | (a * a / sa2 + b * b / sb2 > 1)
+        return out | ((u / s0) ** 2 + (d2 / s2) ** 2 > 1)
+
+
+def phase_space(u: np.ndarray, other: np.ndarray | None = None, e: Ellipsoid | None = None) -> np.ndarray:
+    """Points that lie outside of the robust ellipsoid ``e`` (by default that of ``u``): those of u itself, or those that
+    the series would have with ``other`` in the place of one of its values at a time."""
+    if len(u) < 4:
+        return np.ones(len(u), bool)
     d1 = np.gradient(u)
     d2 = np.gradient(d1)
-    limit = np.sqrt(2 * np.log(n))
-    s0, s1, s2 = (max(_mad(x), 1e-9) * limit for x in (u, d1, d2))
-    theta = np.arctan2(float(u @ d2), float(u @ u)) if float(u @ u) else 0.0
-    out = (u / s0) ** 2 + (d1 / s1) ** 2 > 1
-    out |= (d1 / s1) ** 2 + (d2 / s2) ** 2 > 1
-    a, b = u * np.cos(theta) + d2 * np.sin(theta), d2 * np.cos(theta) - u * np.sin(theta)
-    c, s = np.cos(theta) ** 2, np.sin(theta) ** 2
-    det = c * c - s * s
-    if abs(det) > 1e-6:
-        sa2, sb2 = (s0**2 * c - s2**2 * s) / det, (s2**2 * c - s0**2 * s) / det
-        if sa2 > 0 and sb2 > 0:
-            return out | (a * a / sa2 + b * b / sb2 > 1)
-    return out | ((u / s0) ** 2 + (d2 / s2) ** 2 > 1)
+    e = e or Ellipsoid.of(u)
+    if other is None:
+        return e.outside(u, d1, d2)
+    # the first difference of a place doesn't hold its own value; the second holds half of it
+    return e.outside(other, d1, d2 - (other - u) / 2)
+
+
+def spikes_of(u: np.ndarray, flagged: np.ndarray, wide: float, most: int = 2, peaks: int = 5) -> np.ndarray:
+    """Samples outside of the ellipsoid that are one or two in a row.
+
+    ``flagged``: samples that gave way to the level in the rounds before.  A spike's differences take its neighbours out of
+    the ellipsoid too: of a run of more than ``most`` samples the farthest gives way to the level, up to ``peaks`` times,
+    and neighbours that are inside then are let go.  Where more than ``most`` in a row stay outside, the level moves, and
+    they are let go, but for one or two that lie twice as far off as all the rest of them."""
+    held = np.where(flagged, 0.0, u)
+    e = Ellipsoid.of(held, wide) if len(u) >= 4 else None
+    out = phase_space(held, u, e)
+    taken = np.zeros(len(u), bool)
+    for _ in range(peaks):
+        begins, ends = _runs(out)
+        size = np.where(taken | ~out, -1.0, np.abs(u))
+        new = [i + int(np.argmax(size[i:j])) for i, j in zip(begins, ends) if j - i > most]
+        new = [i for i in new if size[i] > 0]
+        if not new:
+            break
+        taken[new] = True
+        out &= phase_space(np.where(taken, 0.0, held), u, e)
+    begins, ends = _runs(out)
+    for i, j in zip(begins, ends):
+        if j - i > most:
+            size = np.sort(np.abs(u[i:j]))[::-1]
+            ahead = [k for k in range(1, most + 1) if size[k - 1] >= 2 * size[k]]
+            out[i:j] = np.abs(u[i:j]) >= size[ahead[-1] - 1] if ahead else False
+    return out
+
+
+def _runs(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.flatnonzero(out & ~np.r_[False, out[:-1]]), np.flatnonzero(out & ~np.r_[out[1:], False]) + 1
+
+
+def _scatter(x: np.ndarray) -> float:
+    """The standard deviation of the noise in ``x``, of residuals off the two neighbours on either side, which slow
+    movements don't touch; residuals beyond three robust deviations are left out, and made up for."""
+    if len(x) < 9:
+        return _mad(x)
+    r = x[2:-2] - (x[:-4] + x[1:-3] + x[3:-1] + x[4:]) / 4
+    inside = r[np.abs(r - np.median(r)) <= 3 * _mad(r)]
+    return float(np.std(inside)) / 0.9866 / np.sqrt(1.25) if len(inside) else 0.0
 
 
 def _repeated(c: np.ndarray, same: float) -> list[np.ndarray]:
@@ -125,7 +199,9 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
         under = np.count_nonzero((c >= 0) & (c < value * (1 - rules.rounding)) & ~floor & (run < rules.stuck))
         if under > max(2, rules.floor_under * n):
             continue
-        if 1 + np.count_nonzero(np.diff(at) > 1) >= rules.floor_runs and own[-1] - own[0] >= n / 3:
+        runs = 1 + np.count_nonzero(np.diff(at) > 1)
+        throughout = runs >= rules.floor_runs and own[-1] - own[0] >= n / 3
+        if throughout or np.count_nonzero(~long) >= rules.floor_lowest:
             floors.append(value)
             floor |= np.abs(c - value) <= rules.rounding * value
     zero_floor = 0.0 in floors
@@ -133,17 +209,17 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
 
     fold = np.log10(rules.fold)
     usable = np.isfinite(l) & ~floor
-    bad = np.zeros(n, bool)
-    level, before, after = (np.full(n, np.nan) for _ in range(3))
+    flagged = np.zeros(n, bool)
+    level, before, after, u = (np.full(n, np.nan) for _ in range(4))
     scatter = 0.0
-    for _ in range(6):
-        clean = np.flatnonzero(usable & ~bad & ~stuck)
+    at = np.flatnonzero(usable)
+    for turn in range(rules.rounds):
+        clean = np.flatnonzero(usable & ~flagged & ~stuck)
         if len(clean) < 3:
             break
         lc = l[clean]
-        # of a second difference x[i] - (x[i-1] + x[i+1]) / 2, which a drift doesn't touch
-        scatter = _mad(lc[1:-1] - (lc[:-2] + lc[2:]) / 2) / np.sqrt(1.5) if len(lc) > 4 else _mad(lc)
-        # each sample's neighbours among the clean samples, itself left out
+        scatter = _scatter(lc)
+        # each sample's neighbours among those inside of the ellipsoids so far, itself left out
         place = np.searchsorted(clean, np.arange(n))
         own = np.zeros(n, int)
         own[clean] = 1
@@ -151,17 +227,23 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
         b = np.stack([pad[place + k] for k in range(rules.side)], 1)
         a = np.stack([pad[place + rules.side + own + k] for k in range(rules.side)], 1)
         before, after, level = _nanmedian(b), _nanmedian(a), _nanmedian(np.concatenate([b, a], 1))
-        r = l - level
-        u = np.where(np.isfinite(r) & usable, r, 0.0)
-        outside = np.zeros(n, bool)
-        at = np.flatnonzero(usable)
-        outside[at] = phase_space(u[at])
-        lo, hi = _bounds(level, before, after, max(fold, rules.scatter * scatter), rules.both * fold)
-        found = outside & usable & ((l > hi) | (l < lo))
-        if not (found & ~bad).any():
+        # at either end the nearest sample stands for the side that isn't there
+        before, after = np.where(np.isnan(before), a[:, 0], before), np.where(np.isnan(after), b[:, -1], after)
+        # two spikes in a row are the level of a side as long as they aren't flagged, but not that of both
+        u = _off(l, level, before, after, scatter if turn else np.inf)
+        # each sample among neighbours of which the flagged and stuck ones gave way to the level
+        now = np.zeros(n, bool)
+        now[at] = spikes_of(u[at], (flagged | stuck)[at], rules.wide)
+        if turn > rules.rounds // 2:
+            now |= flagged
+        if (now == flagged).all():
             break
-        bad |= found
-    lo, hi = _bounds(level, before, after, max(fold, rules.scatter * scatter), rules.both * fold)
+        flagged = now
+    off = max(fold, rules.scatter * scatter)
+    lo, hi = _bounds(level, before, after, off, rules.both * fold)
+    # readings of a day other than its sample, or none that has a logarithm, are put in its sample's place
+    restated = np.zeros(n, bool)
+    restated[at] = _restated(u, flagged | stuck, at, [low, high], level, before, after, scatter, rules.wide)
     with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
         lo, hi = np.where(np.isnan(lo), -np.inf, 10.0**lo), np.where(np.isnan(hi), np.inf, 10.0**hi)
         if floors:
@@ -170,11 +252,33 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
             lo = np.where(floor, np.minimum(lo, lowest), lo)
             if zero_floor:
                 lo = np.where(low == 0, 0.0, lo)
-    # a single value a day counts only where phase space has it outside; corrections are tested by the bounds
-    tested = ((high > hi) | (low < lo)) & (bad | (low != high) | ~np.isfinite(l) | (c == 0))
+    # the ellipsoids name the days, the bounds of the definition decide on each of their readings; a zero or negative
+    # sample has no place in phase space, and a floor is no sample of it
+    tested = ((high > hi) | (low < lo)) & (flagged | ((low != high) & (restated | ~usable)) | ~np.isfinite(l) | (c == 0))
     return tested | stuck, lo, hi, np.where(stuck, v, np.nan)
 
 
+def _off(l: np.ndarray, level: np.ndarray, before: np.ndarray, after: np.ndarray, scatter: float) -> np.ndarray:
+    """How far samples lie off the level around them; where it moved by more than four deviations, off the nearer one of
+    the levels before and after.  Zero without a level."""
+    moved = np.abs(after - before) > 4 * scatter
+    nearer = np.where(np.abs(l - before) < np.abs(l - after), l - before, l - after)
+    r = np.where(moved, nearer, l - level)
+    return np.where(np.isfinite(r), r, 0.0)
+
+
+def _restated(u: np.ndarray, flagged: np.ndarray, at: np.ndarray, others: list[np.ndarray], level: np.ndarray, before: np.ndarray, after: np.ndarray, scatter: float, wide: float) -> np.ndarray:
+    """Of the samples ``at``, those in whose place one of the other readings of the day would lie outside of the ellipsoid."""
+    held = np.where(flagged, 0.0, u)[at]
+    e = Ellipsoid.of(held, wide) if len(at) >= 4 else None
+    out = np.zeros(len(at), bool)
+    for other in others:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            x = np.where(other > 0, np.log10(np.where(other > 0, other, 1.0)), np.nan)
+        out |= phase_space(held, _off(x, level, before, after, scatter)[at], e) | ~np.isfinite(x[at])
+    return out
+
+
 def _bounds(level: np.ndarray, before: np.ndarray, after: np.ndarray, off: float, both: float) -> tuple[np.ndarray, np.ndarray]:
     """Logarithmic bounds: ``off`` from the level around, and ``both`` from the levels of either side."""
     side = np.stack([np.where(np.isnan(before), level, before), np.where(np.isnan(after), level, after)])
@@ -228,8 +332,9 @@ def implausible_readings(
     value: str = "concentration_value",
     received: str = "received_at",
     rules: SpikeRules | None = None,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``key`` and ``fault`` (negative, high, low, stuck) of every row with a reading that can't be true.
+    """``key``, the columns ``keep`` and ``fault`` (negative, high, low, stuck) of every row with a reading that can't be true.
 
     A series is one source and one target (trimmed, lower case; a null target is a series of its own).  A day's sample
     is its first received row; of rows received at the same instant any may stand for it, as all are judged each by
@@ -240,7 +345,7 @@ def implausible_readings(
     rules = rules or SpikeRules()
     named = [F.coalesce(x, F.lit("\0")) for x in (F.col(source), F.lower(F.trim(target)))]  # xxhash64 skips nulls
     rows = df.select(
-        F.col(key).alias("__key"),
+        F.struct(key, *keep).alias("__kept"),
         F.xxhash64(*named).alias("k1"),
         F.xxhash64(F.lit(7), *named[::-1]).alias("k2"),
         F.unix_date(any_date(date, rules.first, rules.last)).alias("day"),
@@ -249,7 +354,7 @@ def implausible_readings(
         F.col("concentration_unit").alias("u"),
         F.col("normalization_method").alias("m"),
     ).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    rows = harmonize_units(rows, "v", "u", "m", assume_common=True).select("__key", "k1", "k2", "day", "v", "at", F.col("common_value").alias("c"))
+    rows = harmonize_units(rows, "v", "u", "m", assume_common=True).select("__kept", "k1", "k2", "day", "v", "at", F.col("common_value").alias("c"))
     dated = rows.where("day is not null and c is not null")
     daily = dated.groupBy("k1", "k2", "day").agg(F.min_by("v", "at").alias("v"), F.min_by("c", "at").alias("c"), F.min("c").alias("low"), F.max("c").alias("high"))
     bounds = daily.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "day").mapInArrow(_judge(rules), _BOUNDS)
@@ -257,7 +362,7 @@ def implausible_readings(
     c = F.col("c")
     at = ["k1", "k2", "day"]
     judged = rows.where("c < 0 or (c >= 0 and day is not null)").join(bounds, at, "left").select(
-        "__key",
+        "__kept",
         F.when(c < 0, F.lit("negative")).when(F.col("v") == F.col("stuck"), F.lit("stuck")).when(c > F.col("hi"), F.lit("high")).when(c < F.col("lo"), F.lit("low")).alias("fault"),
     )
-    return judged.where("fault is not null").withColumnRenamed("__key", key)
+    return judged.where("fault is not null").select(*(F.col(f"__kept.{x}").alias(x) for x in (key, *keep)), "fault")

@@ -18,9 +18,8 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_faults(spark: SparkSession, sf: str) -> DataFrame:
     """Faults of each kind by site."""
-    rows = table(spark, sf, "canonical")
-    sites = rows.select("row_id", "site_id")
-    return implausible_readings(rows).join(sites, "row_id").groupBy("site_id", "fault").agg(F.countDistinct("row_id").alias("n_rows"))
+    faults = implausible_readings(table(spark, sf, "canonical"), keep=("site_id",))
+    return faults.groupBy("site_id", "fault").agg(F.countDistinct("row_id").alias("n_rows"))
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
