@@ -21,7 +21,7 @@ def test_dates(spark, text, want):
 
 
 def test_small_functions(spark):
-    assert one(spark, " Copies/L Wastewater ", T.clean_unit("x")) == "copies/l wastewater" and one(spark, None, T.clean_unit("x")) is None
+    assert one(spark, " Copies/L Influent ", T.clean_unit("x")) == "copies/l influent" and one(spark, None, T.clean_unit("x")) is None
     assert one(spark, "abc", T.to_float("x")) is None and one(spark, "NaN", T.to_float("x")) is None and one(spark, "1.5", T.to_float("x")) == 1.5
     assert one(spark, "a/monetary20250131a1.pdf", T.date_of_digits("x")) == dt.date(2025, 1, 31)
     assert one(spark, "/x-date-of-july-15-2026/", T.date_of_slug_or_title("x", F.lit(""))) == "2026-07-15"
@@ -48,7 +48,7 @@ def test_harmonize(spark):
     out = harmonize.apply_mapping(harmonize.enrich(conc, meta), harmonize.feed_a_mapping())
     assert out.columns == [f.name for f in schemas.CANONICAL]
     got = {(r["site_id"], r["collection_date"], r["concentration_value"], r["concentration_unit"]) for r in out.collect()}
-    assert got == {("w1", "2025-01-31", 1.5, "copies/l wastewater"), ("w2", "2025-01-31", 1.5, "copies/l wastewater"), (None, None, None, "ratio (microbial-normalized)")} and out.count() == 4
+    assert got == {("w1", "2025-01-31", 1.5, "copies/l"), ("w2", "2025-01-31", 1.5, "copies/l"), (None, None, None, "ratio (microbial-normalized)")} and out.count() == 4
     df = spark.createDataFrame([("a",), ("b",), (None,)], "s string")
     assert harmonize.exclude_source(df, "s", "a").count() == 2
     assert {r["value"]: r["n"] for r in harmonize.value_counts(df, "s", True).collect()} == {"a": 1, "b": 1, None: 1}

@@ -11,9 +11,9 @@ SCHEMA = "row_id long, concentration_value double, concentration_unit string, no
 @pytest.mark.parametrize(
     ("unit", "value", "common", "base"),
     [
-        ("GC / L", 5.0, 5.0, PER_VOLUME), ("copies per liter wastewater", 5.0, 5.0, PER_VOLUME), ("Copies/ml", 5.0, 5000.0, PER_VOLUME), ("gc per 100mL", 5.0, 50.0, PER_VOLUME),
-        ("copies/m^3 wastewater", 5000.0, 5.0, PER_VOLUME), ("gc per US gallon", 3.785411784, 1.0, PER_VOLUME), ("10^6 gc/L", 0.5, 5e5, PER_VOLUME), ("x1000 gc/L", 2.0, 2000.0, PER_VOLUME),
-        ("kilocopies per litre", 2.0, 2000.0, PER_VOLUME), ("mln copies per litre", 2.0, 2e6, PER_VOLUME), ("log10(gc/L)", 3.0, 1000.0, PER_VOLUME), ("log copies/l wastewater (base 10)", 2.0, 100.0, PER_VOLUME),
+        ("GC / L", 5.0, 5.0, PER_VOLUME), ("copies per liter sewage", 5.0, 5.0, PER_VOLUME), ("Copies/ml", 5.0, 5000.0, PER_VOLUME), ("gc per 100mL", 5.0, 50.0, PER_VOLUME),
+        ("copies/m^3 waste water", 5000.0, 5.0, PER_VOLUME), ("gc per US gallon", 3.785411784, 1.0, PER_VOLUME), ("10^6 gc/L", 0.5, 5e5, PER_VOLUME), ("x1000 gc/L", 2.0, 2000.0, PER_VOLUME),
+        ("kilocopies per litre", 2.0, 2000.0, PER_VOLUME), ("mln copies per litre", 2.0, 2e6, PER_VOLUME), ("log10(gc/L)", 3.0, 1000.0, PER_VOLUME), ("log copies/l waste water (base 10)", 2.0, 100.0, PER_VOLUME),
         ("log10 gc per mL", 1.0, 1e4, PER_VOLUME), ("copies/kg dw", 1000.0, 1.0, PER_MASS), ("gc/mg dry solids", 1.0, 1000.0, PER_MASS), ("thousand copies/g dry sludge", 1.0, 1000.0, PER_MASS),
         ("Ratio", 0.5, 0.5, PER_MARKER), ("percent of PMMoV", 5.0, 0.05, PER_MARKER), ("ppm of PMMoV", 5.0, 5e-6, PER_MARKER), ("copies per million PMMoV copies", 5.0, 5e-6, PER_MARKER),
         ("ratio x 10^-3", 5.0, 5e-3, PER_MARKER), ("ratio, in percent", 5.0, 0.05, PER_MARKER), ("log10 of PMMoV ratio", -2.0, 0.01, PER_MARKER), ("copies per 250 ml", 1.0, 4.0, PER_VOLUME),

@@ -11,7 +11,7 @@ from tidewell.functions.dates import iso_date
 from tidewell.functions.text import clean_unit, normal_target, to_float
 from tidewell.schemas import CANONICAL
 
-FLOW_UNIT = "copies/l wastewater"
+FLOW_UNIT = "copies/l"
 RATIO_UNIT = "ratio (microbial-normalized)"
 
 
@@ -20,15 +20,16 @@ def apply_mapping(raw: DataFrame, mapping: dict[str, Column]) -> DataFrame:
     return raw.select(*((mapping.get(f.name, F.lit(None))).cast(f.dataType).alias(f.name) for f in CANONICAL))
 
 
-def feed_a_mapping(source: str = "FEED_A", target: str = "sars-cov-2") -> dict[str, Column]:
-    """A feed of one target whose unit follows from its normalization; anything but flow, null too, is a ratio."""
+def feed_a_mapping(source: str = "FEED_A", target: str = "sars-cov-2", flow_unit: str = FLOW_UNIT) -> dict[str, Column]:
+    """A feed of one target whose unit follows from its normalization; anything but flow, null too, is a ratio.  ``flow_unit``
+    is how the unit of flow-normalized values is to be spelt."""
     return {
         "site_id": F.col("wwtp_id"),
         "jurisdiction": F.col("reporting_jurisdiction"),
         "collection_date": iso_date("date"),
         "target_name": F.lit(target),
         "concentration_value": to_float("pcr_conc_lin"),
-        "concentration_unit": F.when(F.col("normalization") == "flow-population", F.lit(FLOW_UNIT)).otherwise(F.lit(RATIO_UNIT)),
+        "concentration_unit": F.when(F.col("normalization") == "flow-population", F.lit(flow_unit)).otherwise(F.lit(RATIO_UNIT)),
         "normalization_method": F.col("normalization"),
         "data_source": F.lit(source),
     }
@@ -111,8 +112,3 @@ def percent_of_peak(df: DataFrame, group: str, value: str) -> DataFrame:
     peaks = df.groupBy(group).agg(F.max(value).alias("peak"))
     on = df[group].eqNullSafe(peaks[group])
     return df.join(peaks, on).drop(peaks[group]).withColumn("pct_of_peak", F.try_divide(100.0 * F.col(value), F.col("peak"))).drop("peak")
-
-
-def latest_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -26,6 +26,7 @@ QUERY_RULES: tuple[tuple[tuple[str, ...], str], ...] = (
     ((r"Part XIII|withholding.*interest|interest.*withhold",), "Part XIII non-resident person shall pay income tax interest"),
     ((r"principal residence",), "principal residence gain disposition exempt years owned"),
 )
+#: The quotes around a term, how a question asks for its definition, and what is added to it.
 _QUOTES = "'‘’“”"
 _DEFINE = re.compile(rf"defin[a-z]*\s+(?:of\s+)?[{_QUOTES}]?([a-zA-Z][a-zA-Z\s\-]*?)[{_QUOTES}]?\s*(?:\?|under|in\s+the|$)", re.I)
 DEFINITION = "Definition of '{term}' Part XVII ITA s.248 means"

@@ -56,7 +56,7 @@ def _combined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _COMBINED = f"""WITH a AS (SELECT m.wwtp_id AS site_id, m.reporting_jurisdiction AS jurisdiction, strftime({_DATE.format(c='c.collection_date')}, '%Y-%m-%d') AS collection_date,
-    'sars-cov-2' AS target_name, c.concentration_value, CASE WHEN c.normalization_method = 'flow-population' THEN 'copies/l wastewater' ELSE 'ratio (microbial-normalized)' END AS concentration_unit,
+    'sars-cov-2' AS target_name, c.concentration_value, CASE WHEN c.normalization_method = 'flow-population' THEN 'copies/l' ELSE 'ratio (microbial-normalized)' END AS concentration_unit,
     c.normalization_method, 'FEED_A' AS data_source FROM canonical c LEFT JOIN (SELECT DISTINCT * FROM feed_a_meta) m ON c.key_plot_id = m.key_plot_id WHERE starts_with(c.data_source, 'FED')),
     b AS (SELECT site_id, jurisdiction, strftime({_DATE.format(c='collection_date')}, '%Y-%m-%d') AS collection_date, lower(trim(target_name)) AS target_name, concentration_value,
     lower(trim(concentration_unit)) AS concentration_unit, normalization_method, 'FEED_B' AS data_source FROM canonical WHERE NOT coalesce(starts_with(data_source, 'FED'), false)),
