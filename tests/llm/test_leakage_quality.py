@@ -6,7 +6,8 @@ import pytest
 from tidewell.llm.boosting import Boosted
 from tidewell.llm.holdout import labelled
 from tidewell.llm.leakage import LeakRules, SeedIndex, leaked, matches, normal_words, tile
-from tidewell.llm.quality import STATS, junk_texts, matrix, statistics, text_quality, train, weak_labels
+from tests.llm.hand_labels import JUNK, PROSE
+from tidewell.llm.quality import COUNTS, STATS, _votes, count_matrix, fit, junk_texts, matrix, mixtures, probability, ratios, statistics, text_quality, train, weak_labels
 
 RNG = random.Random(9)
 VOCAB = ["".join(RNG.choice("abcdefghij") for _ in range(RNG.randrange(2, 8))) for _ in range(3000)]
@@ -122,11 +123,74 @@ def test_statistics_by_hand():
     assert len(statistics("x" * 1_000_000)) == len(STATS)
 
 
+def test_counts_add_up():
+    a, b = "The cat sat on the mat. It was warm.", "| x | 4 |\n| y | 5 |\n- one\n- two"
+    both = count_matrix([a + "\n\n" + b])[0]
+    parts = count_matrix([a, b]).sum(0)
+    differ = {c for c, x, y in zip(COUNTS, both, parts) if x != y}
+    assert differ <= {"length", "distinct"}
+    c, y = mixtures(count_matrix([a, b]), np.array([1, 0]), 200)
+    share = c[:, COUNTS.index("figure_chars")] / c[:, COUNTS.index("chars")]
+    assert set(y) == {0.0, 1.0} and share[y == 1].max() < share[y == 0].min()
+
+
 def test_weak_labels_agree_with_hand_labels():
     texts, hand = labelled()
     y = weak_labels(matrix(texts))
     sure = y >= 0
-    assert sure.mean() > 0.8 and (y[sure] == np.array(hand)[sure]).mean() >= 0.95
+    assert 0.5 < sure.mean() < 1 and (y[sure] == np.array(hand)[sure]).mean() >= 0.97
+
+
+@pytest.fixture(scope="module")
+def hand():
+    """Counts of hand-labelled documents, their labels, and a model that was fitted on others."""
+    pytest.importorskip("pandas")
+    import os
+
+    import pandas as pd
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("the labelled documents aren't here")
+    d = pd.read_parquet(path, columns=["doc_id", "text"])
+    d = d[d.text.notna() & (d.text.fillna("").str.strip() != "")]
+    checked = d.doc_id.isin(PROSE | JUNK)
+    others = d[~checked].sort_values("doc_id").iloc[::3]
+    model = fit(count_matrix(others.text.tolist()))
+    held = d[checked]
+    return held.doc_id.to_numpy(), count_matrix(held.text.tolist()), held.doc_id.isin(PROSE).to_numpy(), model
+
+
+def test_hand_labelled_documents(hand):
+    ids, c, prose, model = hand
+    p = probability(model, ratios(c))
+    assert len(ids) == len(PROSE | JUNK)
+    assert ((_votes(ratios(c)) == 0).sum(0) > 0).all()  # each weak function abstains on some
+    print("accuracy", ((p >= 0.5) == prose).mean(), "Brier", np.mean((p - prose) ** 2))
+    assert ((p >= 0.5) == prose).mean() >= 0.98
+    assert (p[~prose] < 0.5).mean() >= 0.97 and np.mean((p - prose) ** 2) <= 0.02
+
+
+def test_trees_are_none_of_the_weak_functions(hand):
+    """Each function alone, an abstention counted as prose, errs on documents that the trees have right."""
+    ids, c, prose, model = hand
+    right = (probability(model, ratios(c)) >= 0.5) == prose
+    for k, vote in enumerate(_votes(ratios(c)).T):
+        wrong = right & ((vote >= 0) != prose)
+        assert wrong.any(), k
+    # a list of phrases with common words, a mixture with more table than prose, prose in capitals
+    named = {3319: False, 8738: False, 7002: False, 4937: True}
+    at = {int(i): k for k, i in enumerate(ids)}
+    for i, is_prose in named.items():
+        assert (probability(model, ratios(c))[at[i]] >= 0.5) == is_prose, i
+
+
+def test_mixtures_by_share(hand):
+    """Prose and tables of hand-labelled documents put together: off a half by a tenth and more the trees are right."""
+    _, c, prose, model = hand
+    mc, my = mixtures(c, prose.astype(int), 2000, seed=99)
+    p = probability(model, ratios(mc))
+    assert ((p >= 0.5) == my).mean() >= 0.9
 
 
 def test_boosting_learns_and_calibrates():
@@ -151,9 +215,9 @@ def test_quality_rows(spark):
     assert text_quality(df.limit(0)).count() == 0
 
 
-def test_held_out_accuracy(spark, sf):
+def test_small_table_trains_on_the_holdout(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     model = train(docs, sample=60)
     x = matrix([r["text"] for r in docs.where("text is not null").collect() if r["text"].strip()])
     y = weak_labels(x)
-    assert ((model.probability(x[y >= 0]) >= 0.5) == y[y >= 0]).mean() > 0.95
+    assert ((probability(model, x[y >= 0]) >= 0.5) == y[y >= 0]).mean() > 0.95

@@ -1,4 +1,5 @@
 """The hand-checked holdout that calibrates the text-quality model: invented texts, each read and labelled by hand.
+The model also calibrates on texts put together of these in known shares.
 
 1: running sentences make up more than half of the characters.  0: they don't."""
 
@@ -28,6 +29,10 @@ PROSE = (
     "- The office will answer within 30 days, and it will say why if it does not agree with the claim.\n- If no answer comes, the claim is taken to be allowed, unless the office has asked for more papers.",
     "Staff noted that the gap between the two surveys had closed.",
     "A drop of 3.4 per cent was seen at the harbour plant after the rain of 12 May, but the reading at the hospital line was no lower than in the week before.",
+    "- Has the meter been read?\n- It has, but the value was so low that nobody trusted it.\n- Then we should read it again before the report goes out.",
+    "A person who\nsold the land in\nMay must file the\nform before the end\nof June, unless the\ngain was less than\n300 crowns.",
+    "Mientras la banca esperaba una bajada, el consejo decidió que el tipo no cambiaría hasta que los salarios crezcan menos.",
+    "Wer den Bescheid nicht erhalten hat, kann ihn bis Ende März beim Amt abholen, muss aber einen Ausweis zeigen.",
     "The chair said that it was too early to tell. \"We have seen two good months,\" they said, \"and that is not enough to call it a trend.\"",
 )
 JUNK = (
@@ -54,6 +59,11 @@ JUNK = (
     "Rates were steady in the week to 4 May.\n\n4471;88.1;n/a;302;7.7%\n3190;12.0;5.5%;811;9.1%\n4402;90.7;n/a;117;2.2%\n7781;31.5;6.0%;640;8.8%\n9034;77.2;n/a;255;1.4%",
     "Policy Rate: wage gap / base cost\nTerm Repo: field blank / flow meter\nBase Cost: output gap / lift station",
     "ï¿½ï¿½Ã©â€™ï¿½ â•¬â•© Ã¢â‚¬ ï¿½ï¿½ â”€â”€ Ã‚Â½ï¿½",
+    "* notes on the water fee and the lease of Eastholt\n* terms of the bond for a bank in Norwick\n* review of the rent index by the council of Southmere\n* list of the meters and the pumps in Westgate",
+    "* notes sur le bail et la prime de Valmont\n* liste des pompes et du bassin de Clairval\n* examen de la rente pour le fonds à Beaumont\n* termes du prêt et de la taxe de Hautbois",
+    "* Hinweise zu Miete und zu Pacht in Neudorf\n* Liste der Pumpen und der Becken um Altstadt\n* Prüfung der Rente für die Kasse in Waldheim",
+    "* lista de la renta y del canon de Villanueva\n* notas sobre el pozo y la bomba en Montalto\n* examen del cupo para la caja de Rioseco",
+    "2021-03-04 10:11:12 WARN fetch page=4 status=503\n2021-03-04 10:11:15 INFO retry page=4 status=200\n2021-03-04 10:12:01 INFO done rows=441",
     "[1] [2] [3] [4] [5] [6] [7] [8] [9] [10] [11] [12] [13] [14] [15] [16]",
 )
 
