@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,12 +43,43 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends, and a lost executor costs no recomputation."""
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _file_system(spark, path)
+    fs.deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: lineage ends, and a lost executor costs no recomputation.
+
+    The files are there as long as the application, as the result may be read at any time; they are deleted at its end."""
+    return _written(df)[0]
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """``materialize`` for what nothing needs after the block: the files are deleted at its end."""
+    made: list[str] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        out, path = _written(df)
+        made.append(path)
+        return out
+
+    try:
+        yield keep
+    finally:
+        for path in made:
+            fs, where = _file_system(spark, path)
+            fs.delete(where, True)
 
 
 def spread(df: DataFrame) -> DataFrame:
