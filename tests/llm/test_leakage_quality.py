@@ -70,14 +70,14 @@ def test_copies_without_five_intact_words(spark):
 def test_every_pair_that_tiles_to_the_share_is_scanned(pairs):
     rng = random.Random(5)
     few = VOCAB[:12]  # chance seeds everywhere
-    items = [(i, " ".join(rng.choice(few) for _ in range(40))) for i in range(12)]
+    items = [(i, [rng.choice(few).encode() for _ in range(40)]) for i in range(12)]
     texts = []
     for _ in range(60):
-        words = rng.choice(items)[1].split()
-        texts.append(" ".join(w if rng.random() > 0.25 else rng.choice(VOCAB) for w in words))
+        words = rng.choice(items)[1]
+        texts.append([w if rng.random() > 0.25 else rng.choice(VOCAB).encode() for w in words])
     index = SeedIndex(items, LeakRules(pairs=pairs))
     scanned = {(d, i): ids for d, i, ids in index.scan(texts)}
-    whole = {(d, i) for d, t in enumerate(texts) for i in range(len(items)) if index.coverage(i, np.array([index.vocabulary.get(w, 0) for w in normal_words(t)]))[0] >= 0.4}
+    whole = {(d, i) for d, t in enumerate(texts) for i in range(len(items)) if index.coverage(i, np.array([index.vocabulary.get(w, 0) for w in t]))[0] >= 0.4}
     assert whole and whole <= set(scanned)
 
 
@@ -107,13 +107,46 @@ def test_leaks(spark):
     assert leaked(d.limit(0), i).count() == 0 and leaked(d, i.limit(0)).count() == 0
 
 
-def test_stock_phrases_alone_are_no_case():
+def pairs_of(spark, docs, items, **rules):
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string")
+    return {(r["item_id"], r["doc_id"]) for r in leaked(d, i, rules=LeakRules(**rules)).collect()}
+
+
+def test_stock_is_counted_over_all_items_whatever_the_blocks(spark):
     rng = random.Random(2)
     stock = prose(50, rng)
-    items = [(i, " ".join(stock + prose(50, rng))) for i in range(4)]
-    index = SeedIndex(items, LeakRules())
-    found = index.scan([" ".join(prose(30, rng) + stock)])
-    assert found and all(index.coverage(item, ids)[1] < 0.2 for _, item, ids in found)
+    own = [prose(50, rng) for _ in range(4)]
+    items = [(i, " ".join(stock + own[i])) for i in range(4)] + [(i, " ".join(prose(90, rng))) for i in range(4, 8)]
+    docs = [(1, " ".join(prose(30, rng) + stock)), (2, " ".join(prose(30, rng) + own[1] + prose(20, rng))), (3, items[2][1]), (4, items[6][1])]
+    want = {(1, 2), (2, 3), (6, 4)}  # the stock half alone is no case; the other half, and all of it, are
+    for block in (2, 3, 2000):
+        assert pairs_of(spark, docs, items, block=block) == want
+    assert pairs_of(spark, docs, items[::-1], block=3, chunk=200) == want
+
+
+def test_equal_and_near_equal_items_are_each_reported(spark):
+    rng = random.Random(4)
+    p, q = prose(80, rng), prose(80, rng)
+    near = [[w if k != j else "zzz" for k, w in enumerate(q)] for j in (20, 41, 60)]
+    items = [(i, " ".join(p)) for i in (1, 2, 3)] + [(i + 4, " ".join(x)) for i, x in enumerate(near)] + [(9, " ".join(prose(80, rng)))]
+    docs = [(1, " ".join(prose(40, rng) + p)), (2, " ".join(p[:45] + prose(200, rng))), (3, " ".join(prose(60, rng) + q)), (4, " ".join(q[:50]))]
+    want = {(i, d) for i in (1, 2, 3) for d in (1, 2)} | {(i, d) for i in (4, 5, 6) for d in (3, 4)}
+    for block in (2, 2000):
+        assert pairs_of(spark, docs, items, block=block) == want
+
+
+@pytest.mark.parametrize("every", [4, 5, 6, 8])
+def test_recall_with_single_altered_words(every):
+    """Passages of 80 words of which 60 percent is copied, every n-th word altered: all of them reach the share."""
+    rng = random.Random(every)
+    found = 0
+    for _ in range(50):
+        p = [w.encode() for w in prose(80, rng)]
+        copied = [w if k % every else b"zzz" for k, w in enumerate(p[:48])]
+        index = SeedIndex([(1, p)], LeakRules())
+        fill = [w.encode() for w in prose(100, rng)]
+        found += any(True for _ in index.cases([fill + copied + fill]))
+    assert found >= 45
 
 
 def test_statistics_by_hand():
