@@ -1,6 +1,8 @@
 import random
 
-from tidewell.operators.snapshots import SnapshotIndex, change_counts, snapshot_changes
+import pytest
+
+from tidewell.operators.snapshots import SnapshotIndex, change_counts, changed_values, snapshot_changes
 
 ROWS = "version_id string, citation string, text string, part string, division string, valid_to string, extra string"
 RUNS = "version_id string, act string, language string, ingested_at string, change string"
@@ -74,3 +76,60 @@ def test_index_probe_fetch_and_swap(spark, tmp_path):
     assert [r["text"] for r in index.fetch(changes, first).collect()] == ["z"]
     index.swap(second)
     assert index.probe(second).count() == 0
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_three_rows_a_key_and_runs_that_miss_buckets(spark, parts):
+    """Random histories with several distinct rows a key; runs so small that most buckets have no row of them."""
+    rng = random.Random(parts)
+    runs, rows = [], []
+    for act in "ABC":
+        for k in range(7):
+            v = f"{act}{k}"
+            runs.append((v, act, "fr", f"2023-0{k + 1}-01 00:00:00", "x"))
+            size = 2 if k in (2, 6) else 60
+            for c in rng.sample(range(60), size):
+                for j in range(3):
+                    rows.append((v, f"s.{c}", f"t {c} {j} {rng.random() < 0.1 and j == 1}", "1", "A", None, "e"))
+    df = spark.createDataFrame(rows, ROWS).repartition(parts)
+    got = [tuple(r) for r in snapshot_changes(df, spark.createDataFrame(runs, RUNS)).select("version_id", "citation", "change").collect()]
+    assert set(got) == brute(rows, runs) and len(got) == len(set(got))
+
+
+def test_values_are_fetched_for_changed_keys_only(spark):
+    runs = spark.createDataFrame([("v1", "A", "en", "2024-01-01 00:00:00", "x"), ("v2", "A", "en", "2024-02-01 00:00:00", "x")], RUNS)
+    rows = spark.createDataFrame(
+        [("v1", "a", "x  y", "1", "A", None, "e"), ("v2", "a", "x y", "2", "A", None, "e"), ("v1", "b", "q", "1", "A", None, "e"), ("v2", "b", " q", "1", "A", None, "e"), ("v2", "c", "n", "1", "A", None, "e"), ("v1", None, "k", "1", "A", None, "e"), ("v2", None, "k", "1", "A", "2020", "e")],
+        ROWS,
+    )
+    out = changed_values(rows, runs, snapshot_changes(rows, runs)).collect()
+    assert {(r["citation"], r["old_text"], r["new_text"], r["old_part"], r["new_part"], r["old_valid_to"], r["new_valid_to"]) for r in out} == {("a", "x y", "x y", "1", "2", None, None), (None, "k", "k", "1", "1", None, "2020")}
+
+
+def test_a_failure_between_the_writes_leaves_the_old_index(spark, tmp_path):
+    schema = "citation string, text string, part string"
+    index = SnapshotIndex(spark, str(tmp_path / "i"), ["citation"], ["text", "part"], buckets=4)
+    first = spark.createDataFrame([(f"s.{i}", f"t {i}", "1") for i in range(50)], schema)
+    second = spark.createDataFrame([(f"s.{i}", f"t {i}", "2") for i in range(40)], schema)
+    assert index.current() is None and index.probe(first).count() == 50
+    index.swap(first)
+    index.write(second)  # the table of the next generation is there, its marker isn't
+    assert index.probe(first).count() == 0 and index.probe(second).groupBy("change").count().count() == 2
+    index.swap(second)  # what the failed one left is overwritten
+    assert index.probe(second).count() == 0 and index.probe(first).count() == 50
+    for _ in range(3):
+        index.swap(first)
+    assert len(index.generations()) == 2 and index.probe(first).count() == 0
+    number = index.write(second)
+    index.commit(number)
+    with pytest.raises(FileExistsError):
+        index.commit(number)
+
+
+def test_an_unreadable_index_is_an_error(spark, tmp_path):
+    index = SnapshotIndex(spark, str(tmp_path / "i"), ["citation"], ["text"], buckets=2)
+    first = spark.createDataFrame([("a", "x")], "citation string, text string")
+    index.swap(first)
+    (tmp_path / "i" / "00000009.holds").touch()  # a marker without its table
+    with pytest.raises(Exception, match="(?i)path|exist"):
+        index.probe(first).count()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators.grid import missing_weeks, regular_weeks
-from tidewell.operators.snapshots import change_counts, snapshot_changes
+from tidewell.operators.snapshots import change_counts, changed_values, snapshot_changes
 from tidewell.operators.spikes import implausible_readings
 from tidewell.operators.units import harmonize_units, off_unit_rows
 from tidewell.session import table
@@ -30,6 +30,12 @@ def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
     return change_counts(p2_found(spark, sf))
 
 
+def p2_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Old and new values of the records that changed."""
+    rows, runs = table(spark, sf, "statute_chunk"), table(spark, sf, "ingestion_runs")
+    return changed_values(rows, runs, snapshot_changes(rows, runs)).select("version_id", "citation", "old_text", "new_text", "old_part", "new_part", "old_division", "new_division", "old_valid_to", "new_valid_to")
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return missing_weeks(table(spark, sf, "canonical")).select("key_plot_id", "target_name", "week_start")
 
@@ -56,7 +62,7 @@ def p4_converted(spark: SparkSession, sf: str) -> DataFrame:
     return rows.where("common_value is not null").select("row_id", "common_unit", F.col("common_value").alias("common_value"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p2_found, p2_counts, p3_found, p3_grid, p3_filled, p4_found, p4_converted)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p2_found, p2_counts, p2_values, p3_found, p3_grid, p3_filled, p4_found, p4_converted)}
 
 _RUNS = r"""WITH d AS (SELECT DISTINCT version_id FROM statute_chunk WHERE version_id IS NOT NULL),
     r AS (SELECT version_id, lag(version_id) OVER w AS prev FROM ingestion_runs JOIN d USING (version_id) WINDOW w AS (PARTITION BY act, language ORDER BY try_cast(ingested_at AS TIMESTAMPTZ) NULLS FIRST, version_id)),
@@ -80,6 +86,9 @@ SQL = {
         FROM t WHERE regexp_matches(t, 'log|10\^|x1000|thousand|kilo|mln|million|1e6|ml|millilit|m3|m\^3|cubic|gal|kg|mg|percent|%|ppm|1000|x 10')""",
     "p2_found": _RUNS + "SELECT version_id, citation, change FROM f",
     "p2_counts": _RUNS + "SELECT version_id, count(*) FILTER (change = 'added') AS chunks_added, count(*) FILTER (change = 'removed') AS chunks_removed, count(*) FILTER (change = 'changed') AS chunks_changed FROM f GROUP BY 1",
+    "p2_values": _RUNS + """, v AS (SELECT version_id, citation, max(text) AS text, max(part) AS part, max(division) AS division, max(valid_to) AS valid_to FROM k GROUP BY 1, 2)
+        SELECT f.version_id, f.citation, o.text AS old_text, n.text AS new_text, o.part AS old_part, n.part AS new_part, o.division AS old_division, n.division AS new_division, o.valid_to AS old_valid_to, n.valid_to AS new_valid_to
+        FROM f JOIN r USING (version_id) JOIN v n ON n.version_id = f.version_id AND n.citation IS NOT DISTINCT FROM f.citation JOIN v o ON o.version_id = r.prev AND o.citation IS NOT DISTINCT FROM f.citation WHERE f.change = 'changed'""",
     "p3_found": _GRID + "SELECT g.key_plot_id, g.target_name, strftime(g.wk, '%Y-%m-%d') AS week_start FROM g ANTI JOIN w ON g.key_plot_id = w.key_plot_id AND g.target_name = w.target_name AND g.wk = w.wk",
     "p3_grid": _GRID + "SELECT g.key_plot_id, g.target_name, strftime(g.wk, '%Y-%m-%d') AS week_start, coalesce(n, 0) AS n_readings, n IS NULL AS is_missing FROM g LEFT JOIN w ON g.key_plot_id = w.key_plot_id AND g.target_name = w.target_name AND g.wk = w.wk",
 }
