@@ -2,7 +2,7 @@ import math
 
 import pytest
 
-from tidewell.functions.units import PER_MARKER, PER_MASS, PER_VOLUME, Affine, build_edges, compose, conversion_table, parse_method, parse_unit, to_common
+from tidewell.functions.units import PER_MARKER, PER_MASS, PER_VOLUME, SECOND_SIZES, SIZES, Affine, build_edges, compose, conversion_table, node, parse_method, parse_unit, to_common
 from tidewell.operators.units import harmonize_units, off_unit_rows
 
 SCHEMA = "row_id long, concentration_value double, concentration_unit string, normalization_method string"
@@ -31,12 +31,42 @@ def test_texts_without_a_unit(text):
 
 @pytest.mark.parametrize("text", ["none; results in copies/mL", "none - lab reports copies/mL", "none (values expressed as copies/mL)", "none | unit of result = copies/mL", "none. Reported: copies/mL", "reported as copies/mL; none", "copies/mL, none"])
 def test_unit_in_method(text):
-    assert parse_method(text).factor == 1000.0
+    assert parse_method(text).key == "1|lin|0|0|ml"
 
 
 def test_graph_is_consistent_and_bounded():
     rows = conversion_table()
-    assert len(rows) < 1000 and len({r[0] for r in rows}) == len(rows)
+    assert len(rows) < 5000 and len({r[0] for r in rows}) == len(rows)
+    assert {r[0] for r in rows} == {n for u, v, _ in build_edges() for n in (u, v)}  # no unit without a way to its common one
+
+
+def test_compositions_take_several_edges():
+    to = compose(build_edges(), [node(log, 0, 0, u) for log in (False, True) for u in ("l", "g", "ratio")])
+    hops = [h for _, _, h in to.values()]
+    assert sum(h > 1 for h in hops) > 0.9 * len(hops)
+    assert to[node(False, 3, 2, "ml")][2] >= 3 and to[node(False, 0, 0, "ml")][2] == 1
+    for log in (False, True):
+        root, f, _ = to[node(log, 6, 2, "gal")]
+        want = 1e6 / 100 / 3.785411784
+        assert math.isclose(10**f.b if log else f.a, want, rel_tol=1e-9) and root == node(log, 0, 0, "l")
+
+
+@pytest.mark.parametrize("wrong", [("gal", "l", 3.785411874), ("ml", "l", 1e-2), ("mg", "g", 1e-2), ("kg", "g", 1e2), ("ul", "ml", 1e-2)])
+def test_a_wrong_fact_is_caught_by_the_second_source(wrong):
+    sizes = tuple(wrong if x[:2] == wrong[:2] else x for x in SIZES) + SECOND_SIZES
+    with pytest.raises(ValueError, match="disagree"):
+        compose(build_edges(sizes), [node(False, 0, 0, "l"), node(False, 0, 0, "g")])
+
+
+@pytest.mark.parametrize("text", ["gc per 250 mL", "2.5e14 copies per 37 gallons", "copies per 5000 litres", "log10 copies per 250 ml", "300 copies/mg dry weight", "7 copies per 3 pmmov copies", "3e-20 gc/l"])
+def test_every_unit_that_is_read_has_a_node(text):
+    u = parse_unit(text)
+    times, at = u.key.split("|", 1)
+    row = {r[0]: r for r in conversion_table()}[at]
+    x = 2.5
+    got = 10 ** (row[3] * (x + math.log10(float(times))) + row[4]) if row[2] else row[3] * (float(times) * x) + row[4]
+    want, base = to_common(x, text)
+    assert math.isclose(got, want, rel_tol=1e-9) and row[1] == base
 
 
 def test_inconsistent_cycle_is_refused():
@@ -47,13 +77,14 @@ def test_inconsistent_cycle_is_refused():
 
 
 def test_harmonize_rows(spark):
-    rows = [(1, 2.0, "copies/mL", None), (2, None, "copies/mL", None), (3, float("nan"), "gc/L", None), (4, 3.0, "see method", "none; results in log10 copies/L"), (5, 7.0, None, None), (6, 7.0, "gc/L", "x; results in copies/mL"), (6, 7.0, "gc/L", "x; results in copies/mL"), (7, 400.0, "log10 copies/L", None)]
+    rows = [(1, 2.0, "copies/mL", None), (2, None, "copies/mL", None), (3, float("nan"), "gc/L", None), (4, 3.0, "see method", "none; results in log10 copies/L"), (5, 7.0, None, None), (6, 7.0, "gc/L", "x; results in copies/mL"), (6, 7.0, "gc/L", "x; results in copies/mL"), (8, 5.0, "gc per 250 mL", None), (9, 5.0, "10 copies per 10 L", None), (7, 400.0, "log10 copies/L", None)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'mine' AS common_unit", "1 AS log", "2 AS a")
     out = {r["row_id"]: r for r in harmonize_units(df).collect()}
     assert out[1]["common_value"] == 2000.0 and out[1]["is_common_unit"] is False
     assert out[2]["common_value"] is None and out[3]["common_value"] is None and out[7]["common_value"] is None
     assert math.isclose(out[4]["common_value"], 1000.0) and out[5]["common_unit"] is None and out[6]["is_common_unit"]
+    assert math.isclose(out[8]["common_value"], 20.0) and out[8]["is_common_unit"] is False and out[9]["is_common_unit"] and out[9]["common_value"] == 5.0
     assert out[1]["log"] == 1 and out[1]["a"] == 2
     found = sorted(r["row_id"] for r in off_unit_rows(df).collect())
-    assert found == [1, 4, 7]
+    assert found == [1, 4, 7, 8]
     assert off_unit_rows(spark.createDataFrame([], SCHEMA)).count() == 0

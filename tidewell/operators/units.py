@@ -12,7 +12,7 @@ from pyspark.sql.types import StringType
 from tidewell.functions.units import conversion_table, unit_key
 
 _SEPARATOR = "\x1f"
-_TABLE = "unit_key string, common_unit string, log boolean, a double, b double, is_common boolean"
+_TABLE = "node string, common_unit string, log boolean, a double, b double"
 
 
 @F.arrow_udf(StringType())
@@ -29,9 +29,9 @@ def harmonize_units(
 ) -> DataFrame:
     """Add ``common_value``, ``common_unit`` and ``is_common_unit`` to ``df``.
 
-    The stated unit is parsed to a node of the conversion graph and equi-joined with the composed conversions.  The
-    table has one row for each node of the grammar (a few hundred, whatever the data), so it is broadcast.  A node that
-    the enumeration of the grammar leaves out hangs directly on its common unit, by the factor in its key.
+    The stated unit is parsed to a node of the conversion graph and a plain number before it (2.5 of "per 250 mL" is 1 / 2.5
+    of "per 100 mL"), and the node equi-joined with the composed conversions.  The table has one row for each node of the
+    grammar (a few thousand, whatever the data), so it is broadcast; every unit that is read has a node in it.
 
     No stated unit: the three columns are null (with ``assume_common``, the value passes through and the unit stays
     null).  Null, NaN or overflowing values: ``common_value`` is null.  Columns of ``df`` with these three names are
@@ -39,29 +39,22 @@ def harmonize_units(
     spark = df.sparkSession
     out = ["common_value", "common_unit", "is_common_unit"]
     df = df.drop(*out)
-    table = spark.createDataFrame(conversion_table(), _TABLE).select(*(F.col(c).alias(f"__cv_{c}") for c in ("unit_key", "common_unit", "log", "a", "b", "is_common")))
+    table = spark.createDataFrame(conversion_table(), _TABLE).select(*(F.col(c).alias(f"__cv_{c}") for c in ("node", "common_unit", "log", "a", "b")))
     x = F.col(value).cast("double")
     texts = F.concat(F.coalesce(F.col(unit).cast("string"), F.lit("")), F.lit(_SEPARATOR), F.coalesce(F.col(method).cast("string"), F.lit("")))
-    joined = df.withColumn("__unit_key", _unit_keys(texts)).join(
-        F.broadcast(table), F.col("__unit_key") == F.col("__cv_unit_key"), "left"
+    keyed = df.withColumn("__unit_key", _unit_keys(texts)).withColumns(
+        {"__times": F.substring_index("__unit_key", "|", 1).cast("double"), "__node": F.substring_index("__unit_key", "|", -4)}
     )
-    parts = F.split("__unit_key", r"\|", 3)
-    log = F.coalesce("__cv_log", parts[0] == "log10")
-    factor = parts[1].try_cast("double")
-    a = F.coalesce("__cv_a", F.when(log, F.lit(1.0)).otherwise(factor))
-    b = F.coalesce("__cv_b", F.when(log, F.log10(factor)).otherwise(F.lit(0.0)))
-    affine = a * x + b
-    common = F.when(log, F.pow(F.lit(10.0), affine)).otherwise(affine)
+    joined = keyed.join(F.broadcast(table), F.col("__node") == F.col("__cv_node"), "left")
+    log, a, b, times = (F.col(c) for c in ("__cv_log", "__cv_a", "__cv_b", "__times"))
+    common = F.when(log, F.pow(F.lit(10.0), a * (x + F.log10(times)) + b)).otherwise(a * (times * x) + b)
     if assume_common:
         common = F.when(F.col("__unit_key").isNull(), x).otherwise(common)
     finite = F.when(F.abs(common) < float("inf"), common)
+    same = ~log & (F.abs(a * times - 1) < 1e-12) & (b == 0)
     return joined.withColumns(
-        {
-            "common_value": finite,
-            "common_unit": F.coalesce("__cv_common_unit", parts[2]),
-            "is_common_unit": F.when(F.col("__unit_key").isNotNull(), F.coalesce("__cv_is_common", F.lit(False))),
-        }
-    ).drop("__unit_key", *table.columns)
+        {"common_value": finite, "common_unit": F.col("__cv_common_unit"), "is_common_unit": F.when(F.col("__unit_key").isNotNull(), F.coalesce(same, F.lit(False)))}
+    ).drop("__unit_key", "__times", "__node", *table.columns)
 
 
 def off_unit_rows(df: DataFrame, value: str = "concentration_value", unit: str = "concentration_unit", method: str = "normalization_method") -> DataFrame:

@@ -57,9 +57,9 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_converted(spark: SparkSession, sf: str) -> DataFrame:
-    """Every reading with a stated unit, in the common unit of its quantity."""
-    rows = harmonize_units(table(spark, sf, "canonical"))
-    return rows.where("common_value is not null").select("row_id", "common_unit", F.col("common_value").alias("common_value"))
+    """Every reading with a stated unit, in the common unit of its quantity, to eight figures."""
+    rows = harmonize_units(table(spark, sf, "canonical")).where("common_value is not null")
+    return rows.select("row_id", "common_unit", F.format_string("%.7e", "common_value").cast("double").alias("common_value"))
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_faults, p2_found, p2_counts, p2_values, p3_found, p3_grid, p3_filled, p4_found, p4_converted)}
@@ -81,7 +81,14 @@ _UNITS = r"""WITH c AS (SELECT row_id, concentration_value, lower(concentration_
     '\(sample volume[^)]*\)|; flow given in[^;]*|; detection limit[^;]*|, surrogate spiked[^;]*|; recovery[^;]*|; duplicate wells[^;]*', '', 'g') AS m FROM canonical),
     t AS (SELECT row_id, CASE WHEN regexp_matches(u, 'cop|gc|cp/|ratio|pmmov') THEN u WHEN regexp_matches(m, 'cop|gc|cp/|ratio|percent of|ppm of|% of') THEN m END AS t FROM c WHERE concentration_value IS NOT NULL) """
 
+_FACTOR = r"""CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN CASE WHEN regexp_matches(t, 'ppm|per million|10\^-6') THEN 1e-6 WHEN regexp_matches(t, 'per 1000|10\^-3') THEN 1e-3 WHEN regexp_matches(t, '%|percent') THEN 1e-2 ELSE 1.0 END
+    ELSE CASE WHEN regexp_matches(t, '10\^6|1e6|mln|million') THEN 1e6 WHEN regexp_matches(t, '10\^3|x1000|thousand|kilocop') THEN 1e3 ELSE 1.0 END
+        * CASE WHEN regexp_matches(t, 'dry|dw') THEN CASE WHEN regexp_matches(t, 'kg') THEN 1e-3 WHEN regexp_matches(t, 'mg') THEN 1e3 ELSE 1.0 END
+          WHEN regexp_matches(t, '100 ?ml') THEN 1e1 WHEN regexp_matches(t, 'ml([^n]|$)|millilit') THEN 1e3 WHEN regexp_matches(t, 'm3|m\^3|cubic') THEN 1e-3 WHEN regexp_matches(t, 'gal') THEN 1 / 3.785411784 ELSE 1.0 END END"""
+
 SQL = {
+    "p4_converted": _UNITS.replace("SELECT row_id, CASE WHEN", "SELECT row_id, concentration_value AS v, CASE WHEN", 1) + f"""SELECT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit,
+        CAST(format('{{:.7e}}', common_value) AS DOUBLE) AS common_value FROM (SELECT *, CASE WHEN regexp_matches(t, 'log') THEN pow(10.0, v) ELSE v END * {_FACTOR} AS common_value FROM t WHERE t IS NOT NULL)""",
     "p4_found": _UNITS + r"""SELECT DISTINCT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit
         FROM t WHERE regexp_matches(t, 'log|10\^|x1000|thousand|kilo|mln|million|1e6|ml|millilit|m3|m\^3|cubic|gal|kg|mg|percent|%|ppm|1000|x 10')""",
     "p2_found": _RUNS + "SELECT version_id, citation, change FROM f",
