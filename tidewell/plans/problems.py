@@ -77,7 +77,7 @@ _GRID = r"""WITH r AS (SELECT key_plot_id, lower(trim(target_name)) AS target_na
     s AS (SELECT key_plot_id, target_name, generate_series(min(wk), max(wk), INTERVAL 7 DAY) AS wks FROM w GROUP BY 1, 2),
     g AS (SELECT key_plot_id, target_name, unnest(wks)::DATE AS wk FROM s) """
 
-_UNITS = r"""WITH c AS (SELECT row_id, concentration_value, lower(concentration_unit) AS u, regexp_replace(lower(normalization_method),
+UNITS_SQL = r"""WITH c AS (SELECT row_id, concentration_value, lower(concentration_unit) AS u, regexp_replace(lower(normalization_method),
     '\(sample volume[^)]*\)|; flow given in[^;]*|; detection limit[^;]*|, surrogate spiked[^;]*|; recovery[^;]*|; duplicate wells[^;]*', '', 'g') AS m FROM canonical),
     t AS (SELECT row_id, CASE WHEN regexp_matches(u, 'cop|gc|cp/|ratio|pmmov') THEN u WHEN regexp_matches(m, 'cop|gc|cp/|ratio|percent of|ppm of|% of') THEN m END AS t FROM c WHERE concentration_value IS NOT NULL) """
 
@@ -87,9 +87,9 @@ _FACTOR = r"""CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies'
           WHEN regexp_matches(t, '100 ?ml') THEN 1e1 WHEN regexp_matches(t, 'ml([^n]|$)|millilit') THEN 1e3 WHEN regexp_matches(t, 'm3|m\^3|cubic') THEN 1e-3 WHEN regexp_matches(t, 'gal') THEN 1 / 3.785411784 ELSE 1.0 END END"""
 
 SQL = {
-    "p4_converted": _UNITS.replace("SELECT row_id, CASE WHEN", "SELECT row_id, concentration_value AS v, CASE WHEN", 1) + f"""SELECT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit,
+    "p4_converted": UNITS_SQL.replace("SELECT row_id, CASE WHEN", "SELECT row_id, concentration_value AS v, CASE WHEN", 1) + f"""SELECT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit,
         CAST(format('{{:.7e}}', common_value) AS DOUBLE) AS common_value FROM (SELECT *, CASE WHEN regexp_matches(t, 'log') THEN pow(10.0, v) ELSE v END * {_FACTOR} AS common_value FROM t WHERE t IS NOT NULL)""",
-    "p4_found": _UNITS + r"""SELECT DISTINCT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit
+    "p4_found": UNITS_SQL + r"""SELECT DISTINCT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit
         FROM t WHERE regexp_matches(t, 'log|10\^|x1000|thousand|kilo|mln|million|1e6|ml|millilit|m3|m\^3|cubic|gal|kg|mg|percent|%|ppm|1000|x 10')""",
     "p2_found": _RUNS + "SELECT version_id, citation, change FROM f",
     "p2_counts": _RUNS + "SELECT version_id, count(*) FILTER (change = 'added') AS chunks_added, count(*) FILTER (change = 'removed') AS chunks_removed, count(*) FILTER (change = 'changed') AS chunks_changed FROM f GROUP BY 1",
