@@ -44,6 +44,33 @@ def test_no_white_space_and_very_long_texts():
     assert "".join(half[c:e] for _, c, e in pieces(half)) == half
 
 
+@pytest.mark.parametrize(("head", "tail"), [("a" * 1599, "b" * 20), ("a" * 20, "b" * 1599), ("a " * 5, "b" * 1595), ("a" * 1390 + " x", "b " * 10)])
+def test_a_boundary_near_an_end_is_taken_if_the_pieces_are_legal(head, tail):
+    text = head + " " + tail
+    got = pieces(text.strip())
+    assert all(len(text[s:e]) <= 1600 for s, _, e in got)
+    assert all(text[e - 1].isspace() or e == len(text.strip()) for _, _, e in got)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_only_words_over_the_limit_are_cut(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("ab") for _ in range(rng.choice([1, 3, 8, 300, 1400, 1700, 5000]))) for _ in range(60)]
+    text = " ".join(words)
+    ends = {0}
+    for w in words:
+        ends.add(min(len(text), max(ends) + len(w) + 1))
+    long = [(sum(len(x) + 1 for x in words[:k]), len(w)) for k, w in enumerate(words) if len(w) > 1600]
+    for c in cuts(text)[1:-1]:
+        assert c in ends or any(at < c < at + n for at, n in long), c
+
+
+def test_many_boundaries_at_both_ends_of_an_endless_word():
+    text = "a " * 20_000 + "x" * 200_000 + " b" * 20_000
+    got = pieces(text)
+    assert all(e - s <= 1600 for s, _, e in got) and "".join(text[c:e] for _, c, e in got) == text
+
+
 def test_rows(spark):
     body = "a b. " * 500 + "\f" + "c d. " * 500
     data = [("1", "d", "  " + body + "\n", 3, 7, "q"), ("1", "d", "  " + body + "\n", 3, 7, "q"), ("2", "d", "x" * 1600, 1, 1, "q"), ("3", "d", None, 1, 1, "q"), ("4", "d", " " * 3000 + "x", 1, 1, "q"), ("5", None, "é" * 1601, 0, None, None)]
@@ -78,18 +105,31 @@ def test_counts_are_exact_and_joined_back(spark):
     assert len(got) == len(texts)
     for i, t in enumerate(texts[:7]):
         assert got[i]["n_tokens"] == (len(encode(t)) if t else 0) and got[i]["n_estimate"] == int(len((t or "").split()) * 1.3)
-    assert distinct_counts(df).count() == 6
+    assert distinct_counts(df, keys=["id"]).select("h").distinct().count() == 6
     assert [r["id"] for r in wrong_counts(df, ["id"]).collect()] == [0]
     assert token_counts(spark.createDataFrame([], TEXTS), ["id"]).count() == 0
 
 
-def test_long_texts_are_cut_where_no_token_spans():
-    import tiktoken  # noqa: F401
-
+@pytest.mark.parametrize("sep", ["\n", " ", "\t\t", "  \n"])
+def test_long_texts_are_tokenized_whole(sep):
+    """Lines of one kind, of which each is known to have the same tokens, over and under 100,000 characters."""
     encode = tokenizer(f"{TOKENIZER_DIR}/{VOCABULARY}")
-    text = " ".join(text_of(s, 3000) for s in range(40)).replace("\f", " ")
-    parts = [text[i : i + 3000] for i in range(0, len(text), 3000)]
-    assert abs(len(encode(text)) - sum(len(encode(p)) for p in parts)) < 4 * len(parts)
+    unit = f"tokens{sep}"
+    base, more = len(encode(unit * 100)), len(encode(unit * 101))
+    assert len(encode(unit * 25_000)) == base + (25_000 - 100) * (more - base)
+    assert len(encode("x" * 300_000)) > 0 and len(encode(" " * 300_000)) > 0
+
+
+def test_hot_texts_are_spread_over_their_keys(spark):
+    """Copies of a text meet its count in as many groups as there are salts, and no text is sent more than once a task."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(2000).select("id", F.when(F.col("id") % 3 == 0, "the same text").when(F.col("id") % 3 == 1, F.concat(F.lit("t "), "id")).alias("text")).repartition(3)
+    counts = distinct_counts(df, keys=["id"])
+    pairs = counts.groupBy("h").agg(F.count("*").alias("n"), F.countDistinct("salt").alias("s"), F.countDistinct("n_tokens").alias("t")).collect()
+    assert max(r["n"] for r in pairs) == max(r["s"] for r in pairs) > 16 and {r["t"] for r in pairs} == {1}
+    got = {r["id"]: r["n_words"] for r in token_counts(df, ["id"]).collect()}
+    assert len(got) == 2000 and all(n == (3, 2, 0)[i % 3] for i, n in got.items())
 
 
 def test_labels(spark):

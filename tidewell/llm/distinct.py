@@ -43,3 +43,36 @@ def distinct_by_hash(df: DataFrame) -> DataFrame:
 
 def as_strings(column: pa.Array) -> list[str | None]:
     return pc.cast(column, pa.large_string()).to_pylist() if not pa.types.is_string(column.type) else column.to_pylist()
+
+
+SALTS = 64
+
+
+def salt_of(*keys: Column) -> Column:
+    """A small number by a row's key, which spreads the copies of a hot text."""
+    return F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+
+
+def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (h, salt, text) whose pair this task hasn't seen, with the text only where it hasn't seen h."""
+    seen: set[tuple[bytes, int]] = set()
+    sent: set[bytes] = set()
+    for batch in batches:
+        keep, text = [], []
+        for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if pair not in seen:
+                seen.add(pair)
+                keep.append(i)
+                text.append(pair[0] not in sent)
+                sent.add(pair[0])
+        if keep:
+            some = batch.take(pa.array(keep, pa.int64()))
+            column = some.column(2)
+            yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pc.if_else(pa.array(text), column, pa.scalar(None, column.type))], names=["h", "salt", "text"])
+
+
+def distinct_pairs(df: DataFrame) -> DataFrame:
+    """``df`` (h, salt, text) with each pair of h and salt once a task and the text once a task, partitioned by h: all pairs of a
+    text meet where it is, and rows can be joined on both, so that those of a hot text are in as many groups as there are
+    salts."""
+    return df.mapInArrow(_first_pairs, df.schema).repartition("h")

@@ -1,8 +1,9 @@
 """Texts into sequences of a fixed token capacity (problem 8): vector best-fit decreasing.
 
 A text over the capacity is cut into full sequences and a rest; every rest and every other text is an item with three
-demands: tokens, one document, and attention cost (tokens squared).  Items are spread by a hash of their row over shards of
-a fixed expected size, and each shard is packed by itself: largest first, each into the open bin with the smallest
+demands: tokens, one document, and attention cost (tokens squared).  A text makes one item at most, so items are spread by a hash
+of their row over shards of a fixed expected size, whatever the texts' lengths; full sequences stand alone and go in portions
+of their own where a text has many.  Each shard is packed by itself: largest first, each into the open bin with the smallest
 weighted norm of what would remain, among the bins with room in every dimension.  Only a shard's last few bins stay
 partly empty, so the loss is about one bin in a thousand whatever the number of shards.
 """
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.distinct import content_hash
+from tidewell.llm.distinct import content_hash, salt_of
 from tidewell.llm.tokens import distinct_counts
 
 
@@ -64,24 +65,27 @@ def best_fit(tokens: np.ndarray, capacity: Capacity) -> tuple[np.ndarray, int]:
     return bins, count
 
 
-def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: Capacity | None = None, shard_items: int = 8192, path: str | None = None) -> DataFrame:
+def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: Capacity | None = None, shard_items: int = 8192, few: int = 8, path: str | None = None) -> DataFrame:
     """bin, key, piece, token_start, n_tokens: where each text's tokens go.
 
     Every token of every text is in exactly one bin; bins keep all three capacities; a text is cut only if it alone
     exceeds the token capacity.  Null and empty texts have no tokens and no rows; repeated rows and repeated keys are
-    packed each; an empty table gives an empty result.  ``capacity.attention`` must admit one text of full length."""
+    packed each; an empty table gives an empty result.  A shard holds the pieces of about ``shard_items`` texts with at most ``few``
+    full sequences each, or ``shard_items`` full sequences of one text.  ``capacity.attention`` must admit one text of full length."""
     c = capacity or Capacity()
     if c.attention < float(c.tokens) ** 2 or c.documents < 1:
         raise ValueError("a text of full length must fit a bin alone")
     # the row's number comes from the scan, so it stays the same when a task runs again
-    rows = df.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("r"), content_hash(F.col(text)).alias("h"))
+    rows = df.select(F.col(key).alias("k"), F.monotonically_increasing_id().alias("r"), content_hash(F.col(text)).alias("h"), salt_of(F.col(key)).alias("salt"))
     shards = max(1, -(-df.count() // shard_items))
-    sized = rows.join(distinct_counts(df, text, path).select("h", F.col("n_tokens").cast("int").alias("t")), "h").where("t > 0")
+    counts = distinct_counts(df, text, path, [key]).select("h", "salt", F.col("n_tokens").alias("t"))
+    sized = rows.join(counts, ["h", "salt"]).where("t > 0")
     # one stream of pieces: full sequences and rests alike, so that texts are tokenized for a single branch
     pieces = sized.select("k", "r", "t", F.explode(F.sequence(F.lit(0), F.ceil(F.col("t") / c.tokens).cast("int") - 1)).alias("piece"))
-    items = pieces.select(
-        F.pmod(F.xxhash64("r", "piece"), F.lit(shards)).cast("int").alias("shard"), "k", "r", "piece", F.least(F.lit(c.tokens), F.col("t") - F.col("piece") * c.tokens).alias("n")
-    )
+    full = F.floor(F.col("t") / c.tokens)
+    own = (full > few) & (F.col("piece") < full)
+    shard = F.when(own, F.concat_ws(".", F.lit("d"), F.col("r"), F.floor(F.col("piece") / shard_items))).otherwise(F.concat(F.lit("s"), F.pmod(F.xxhash64("r", "piece"), F.lit(shards))))
+    items = pieces.select(shard.alias("shard"), "k", "r", "piece", F.least(F.lit(c.tokens), F.col("t") - F.col("piece") * c.tokens).cast("int").alias("n"))
     kind = df.schema[key].dataType.simpleString()
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -89,12 +93,13 @@ def pack(df: DataFrame, key: str = "doc_id", text: str = "text", capacity: Capac
         n = pdf["n"].to_numpy()
         whole = int((n == c.tokens).sum())  # full sequences come first and stand alone
         bins = np.concatenate([np.arange(whole), whole + best_fit(n[whole:], c)[0]])
-        shard = int(pdf["shard"].iloc[0])
-        return pd.DataFrame({"bin": [f"s{shard}-{b}" for b in bins], "k": pdf["k"].to_numpy(), "piece": pdf["piece"].to_numpy(), "token_start": pdf["piece"].to_numpy() * c.tokens, "n_tokens": n})
+        shard = pdf["shard"].iloc[0]
+        return pd.DataFrame({"bin": [f"{shard}-{b}" for b in bins], "k": pdf["k"].to_numpy(), "piece": pdf["piece"].to_numpy(), "token_start": pdf["piece"].to_numpy().astype("int64") * c.tokens, "n_tokens": n})
 
     # a stated number of partitions, as shards are small in bytes and would be coalesced into few tasks
     tasks = min(shards, max(200, shards // 64))
-    return items.repartition(tasks, "shard").groupBy("shard").applyInPandas(one, f"bin string, k {kind}, piece int, token_start int, n_tokens int").withColumnRenamed("k", key)
+    tasks = max(tasks, df.sparkSession.sparkContext.defaultParallelism)
+    return items.repartition(tasks, "shard").groupBy("shard").applyInPandas(one, f"bin string, k {kind}, piece int, token_start long, n_tokens int").withColumnRenamed("k", key)
 
 
 def utilisation(packed: DataFrame, capacity: Capacity | None = None) -> DataFrame:

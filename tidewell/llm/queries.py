@@ -9,10 +9,11 @@ from tidewell.functions.dates import any_date
 from tidewell.llm.leakage import leaked
 from tidewell.llm.packing import pack, utilisation
 from tidewell.llm.quality import STATS, junk_texts, text_quality
-from tidewell.llm.quantiles import percentiles
+from tidewell.llm.quantiles import group_fields, percentiles
 from tidewell.llm.split import renumbered, split_oversized
 from tidewell.llm.tokens import clean_language, label_key, label_table, token_counts, token_totals, wrong_counts
 from tidewell.operators.units import harmonize_units
+from tidewell.plans.problems import UNITS_SQL as _UNITS
 from tidewell.session import table
 
 
@@ -26,6 +27,16 @@ def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return renumbered(chunks, split_oversized(chunks))
 
 
+def p5_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pieces of each oversized chunk hold together without their overlaps, in characters that aren't white space, and
+    whether each is within the limit and numbered without a gap."""
+    cut = split_oversized(table(spark, sf, "chunk"))
+    own = F.length(F.regexp_replace(F.substring("text", F.col("overlap_chars") + 1, F.length("text")), r"\s", ""))
+    return cut.groupBy("chunk_id", "source_chunk_idx").agg(
+        F.sum(own).alias("n_chars"), (F.max(F.length("text")) <= 1600).alias("within"), (F.max("chunk_idx") + 1 == F.countDistinct("chunk_idx")).alias("in_order"), (F.max("overlap_chars") <= 200).alias("overlaps")
+    )
+
+
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     return wrong_counts(table(spark, sf, "statute_chunk"), ["version_id", "citation"]).distinct()
 
@@ -37,6 +48,17 @@ def p6_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return docs.unionByName(acts.select(F.lit("statute_chunk").alias("origin"), F.concat_ws(" ", "version_id", "citation").alias("id"), "n_tokens", "n_words"))
 
 
+def p6_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words and the estimate of every text of statute_chunk, from the same counts of distinct texts."""
+    return token_counts(table(spark, sf, "statute_chunk"), ["version_id", "citation"]).select("version_id", "citation", "n_words", "n_estimate")
+
+
+def p6_slices(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts and distinct texts of documents by source and cleaned language."""
+    docs = table(spark, sf, "documents")
+    return token_totals(docs, {"source": F.col("source"), "language": clean_language(F.col("lang"))}).select("source", "language", "n_texts", "n_distinct")
+
+
 def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
     """Token budgets by source, institution, language and domain, in cleaned labels, over both tables."""
     docs, acts, runs = (table(spark, sf, t) for t in ("documents", "statute_chunk", "ingestion_runs"))
@@ -60,13 +82,21 @@ def p6_totals(spark: SparkSession, sf: str) -> DataFrame:
 def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
     """Percentiles in common units by target, unit and day, and by month from the same sketches."""
     rows = harmonize_units(table(spark, sf, "canonical"), assume_common=False)
-    group = F.concat_ws(" | ", F.lower(F.trim("target_name")), F.coalesce("common_unit", F.lit("no stated unit")))
+    group = [F.lower(F.trim("target_name")), F.coalesce("common_unit", F.lit("no stated unit"))]
     value = F.coalesce("common_value", F.when(F.col("common_unit").isNull(), F.col("concentration_value")))
     return percentiles(rows, group, any_date("collection_date", "2022-01-03", "2025-12-28"), value).select(
-        "grain", F.split("g", r" \| ")[0].alias("target_name"), F.split("g", r" \| ")[1].alias("common_unit"), "period", "n", "p5", "p25", "p50", "p75", "p90", "p95", "p99", "p99_9"
+        "grain", *group_fields("target_name", "common_unit"), "period", "n", "p5", "p25", "p50", "p75", "p90", "p95", "p99", "p99_9"
     )
 
 
+def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values the sketches of each target, unit and period have taken in, and the exact extremes they keep."""
+    rows = harmonize_units(table(spark, sf, "canonical"), assume_common=False)
+    group = [F.lower(F.trim("target_name")), F.coalesce("common_unit", F.lit("no stated unit"))]
+    out = percentiles(rows, group, any_date("collection_date", "2022-01-03", "2025-12-28"), F.when(F.col("common_unit").isNull(), F.col("concentration_value")), q=(0.0, 1.0))
+    return out.select("grain", *group_fields("target_name", "common_unit"), "period", "n", F.col("p0").alias("least"), F.col("p100").alias("most"))
+
+
 def p8_bins(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
@@ -92,9 +122,22 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return text_quality(table(spark, sf, "documents")).select("doc_id", *STATS, "p_prose", "is_prose")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p6_found, p6_tokens, p6_totals, p7_percentiles, p8_bins, p8_utilisation, p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p5_coverage, p6_found, p6_tokens, p6_words, p6_slices, p6_totals, p7_percentiles, p7_counts, p8_bins, p8_utilisation, p9_found, p9_items, p10_found, p10_statistics)}
+
+_DAY = r"""CASE WHEN regexp_matches(trim(collection_date), '^\d{4}-\d{2}-\d{2}([T ].*)?$') THEN try_strptime(substr(trim(collection_date), 1, 10), '%Y-%m-%d')::DATE
+    WHEN regexp_matches(trim(collection_date), '^\d{1,2}/\d{1,2}/\d{4}$') THEN try_strptime(trim(collection_date), '%m/%d/%Y')::DATE END"""
 
 ORACLE_SQL = {
+    "p5_coverage": r"""SELECT chunk_id, chunk_idx AS source_chunk_idx, length(regexp_replace(text, '\s', '', 'g')) AS n_chars, true AS within, true AS in_order, true AS overlaps
+        FROM (SELECT DISTINCT chunk_id, chunk_idx, text FROM chunk WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 1600)""",
+    "p6_words": r"""SELECT version_id, citation, coalesce(len(regexp_extract_all(text, '\S+')), 0) AS n_words, CAST(trunc(coalesce(len(regexp_extract_all(text, '\S+')), 0) * 1.3::DOUBLE) AS BIGINT) AS n_estimate FROM statute_chunk""",
+    "p7_counts": _UNITS + f""", v AS (SELECT lower(trim(target_name)) AS target_name, {_DAY} AS d, concentration_value AS x FROM canonical JOIN t USING (row_id) WHERE t.t IS NULL),
+        w AS (SELECT * FROM v WHERE d BETWEEN DATE '2022-01-03' AND DATE '2025-12-28')
+        SELECT 'day' AS grain, target_name, 'no stated unit' AS common_unit, strftime(d, '%Y-%m-%d') AS period, count(*) AS n, min(x) AS least, max(x) AS most FROM w GROUP BY target_name, d
+        UNION ALL SELECT 'month', target_name, 'no stated unit', strftime(date_trunc('month', d), '%Y-%m-%d'), count(*), min(x), max(x) FROM w GROUP BY target_name, date_trunc('month', d)""",
+    "p6_slices": r"""WITH l AS (SELECT source, text, regexp_split_to_array(lower(trim(lang)), '[-_]')[1] AS b FROM documents),
+        c AS (SELECT source, text, CASE WHEN b IS NULL OR b IN ('', 'und', 'unknown', 'n/a') THEN 'und' WHEN b = 'eng' THEN 'en' WHEN b IN ('fra', 'fre') THEN 'fr' WHEN b IN ('deu', 'ger') THEN 'de' WHEN b = 'spa' THEN 'es' ELSE b END AS language FROM l)
+        SELECT source, language, count(*) AS n_texts, count(DISTINCT text) AS n_distinct FROM c GROUP BY 1, 2""",
     "p5_found": r"""SELECT DISTINCT chunk_id FROM chunk WHERE length(regexp_replace(text, '^\s+|\s+$', '', 'g')) > 1600""",
     "p6_found": r"""SELECT DISTINCT version_id, citation FROM statute_chunk
         WHERE token_count IS DISTINCT FROM

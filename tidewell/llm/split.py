@@ -1,7 +1,7 @@
 """Oversized texts cut at natural boundaries, with overlap (problem 5).
 
 Recursive bisection: a span over the limit is cut at the strongest boundary in the middle half of it, the one nearest
-to the midpoint among equals; halves that still exceed the limit minus the overlap are cut again.  Overlaps are attached
+to the midpoint among equals, or, where there is none, at the nearest boundary outside of it; halves that still exceed the limit minus the overlap are cut again.  Overlaps are attached
 afterwards: each piece but the first starts up to ``overlap`` characters before its cut, at a word's start.
 """
 
@@ -51,7 +51,12 @@ def boundaries(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
-    """Positions 0 = c0 < c1 < ... < cn = len(text) such that no span exceeds limit - overlap (the first: limit)."""
+    """Positions 0 = c0 < c1 < ... < cn = len(text) such that no span exceeds limit - overlap (the first, and
+    those of one word: limit).
+
+    A span that has white space is cut at white space, wherever it is.  Only a word that is too long itself is cut between
+    characters.  Every cut leaves a part without the middle half, or without white space, so there are as many rounds as
+    words longer than a limit, and the logarithm of the length."""
     n = len(text)
     if n <= limit:
         return [0, n]
@@ -65,16 +70,17 @@ def cuts(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[int]:
             continue
         middle, quarter = (lo + hi) // 2, (hi - lo) // 4
         i, j = np.searchsorted(at, [lo + quarter, hi - quarter + 1])
-        if i == j:  # no white space in the middle half: take the nearest boundary of the whole span, else any character
-            i, j = np.searchsorted(at, [lo + 1, hi])
         if i < j:
             s = strength[i:j]
             best = np.flatnonzero(s == s.max())
             cut = int(at[i + best[np.argmin(np.abs(at[i + best] - middle))]])
-            if cut - lo > 0.98 * (hi - lo) or cut - lo < 0.02 * (hi - lo):
-                cut = middle  # keeps the recursion shallow on texts of one endless word
         else:
-            cut = middle
+            # no white space in the middle half: the boundaries on either side of it, else any character
+            around = [int(at[k]) for k in (i - 1, i) if 0 <= k < len(at) and lo < at[k] < hi]
+            if not around and hi - lo <= limit:  # one word, which is whole with less overlap
+                out.append(hi)
+                continue
+            cut = min(around, key=lambda c: abs(c - middle), default=middle)
         while lo + 1 < cut < hi and text[cut - 1] == "\r" and text[cut] == "\n":
             cut -= 1
         stack += [(cut, hi), (lo, cut)]
@@ -88,10 +94,10 @@ def pieces(text: str, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[
     for k, (a, b) in enumerate(zip(c, c[1:])):
         start = a
         if k and overlap:
-            start = max(c[k - 1], a - overlap)
+            start = max(c[k - 1], a - overlap, b - limit)
             gap = _GAP.search(text, start, a)
             if start > 0 and not text[start - 1].isspace() and not text[start].isspace():
-                start = gap.end() if gap else a - min(overlap, a - start)
+                start = gap.end() if gap else start
         out.append((min(start, a), a, b))
     return out
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.distinct import as_strings, content_hash, distinct_by_hash
+from tidewell.llm.distinct import as_strings, content_hash, distinct_pairs, salt_of
 
 TOKENIZER_DIR = os.environ.get("TIDEWELL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -34,22 +34,7 @@ def tokenizer(path: str) -> Callable[[str], list[int]]:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(text: str) -> list[int]:
-        if len(text) <= 100_000:
-            return encoding.encode_ordinary(text)
-        # very long texts go piece by piece, cut before a blank, where no pre-token can span
-        out: list[int] = []
-        start = 0
-        while start < len(text):
-            end = min(len(text), start + 100_000)
-            if end < len(text):
-                cut = max((i for i in range(end, max(start + 1, end - 5000), -1) if text[i] == " " and text[i - 1].isalnum()), default=end)
-                end = cut
-            out += encoding.encode_ordinary(text[start:end])
-            start = end
-        return out
-
-    return encode
+    return encoding.encode_ordinary
 
 
 def estimate_tokens(text: str) -> int:
@@ -57,38 +42,58 @@ def estimate_tokens(text: str) -> int:
     return int(len(text.split()) * WORDS_TO_TOKENS)
 
 
-_COUNTS = "h binary, n_tokens long, n_words long, n_estimate long"
+_COUNTS = "h binary, salt int, n_tokens long, n_words long, n_estimate long"
 
 
 def _count(path: str):
-    schema = pa.schema([("h", pa.binary()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_estimate", pa.int64())])
+    """Each distinct text of a partition is tokenized once; its counts go to each of its salts once."""
+    schema = pa.schema([("h", pa.binary()), ("salt", pa.int32()), ("n_tokens", pa.int64()), ("n_words", pa.int64()), ("n_estimate", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path)
+        known: dict[bytes, tuple[int, int, int]] = {}
+        waiting: dict[bytes, set[int]] = {}  # salts that came before their text
+        done: set[tuple[bytes, int]] = set()
+
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema)
+
         for batch in batches:
-            texts = as_strings(batch.column(1))
-            words = [len(t.split()) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.binary()), pa.array([len(encode(t)) for t in texts], pa.int64()), pa.array(words, pa.int64()), pa.array([int(w * WORDS_TO_TOKENS) for w in words], pa.int64())],
-                schema=schema,
-            )
+            rows = []
+            for h, salt, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), as_strings(batch.column(2))):
+                if (h, salt) in done:
+                    continue
+                if h not in known:
+                    waiting.setdefault(h, set()).add(salt)
+                    if text is None:
+                        continue
+                    words = len(text.split())
+                    known[h] = (len(encode(text)), words, int(words * WORDS_TO_TOKENS))
+                for k in waiting.pop(h, {salt}):
+                    if (h, k) not in done:
+                        done.add((h, k))
+                        rows.append((h, k, *known[h]))
+            if rows:
+                yield batch_of(rows)
 
     return run
 
 
-def distinct_counts(df: DataFrame, text: str = "text", path: str | None = None) -> DataFrame:
-    """h, n_tokens, n_words, n_estimate of each distinct text that isn't null."""
-    texts = df.where(F.col(text).isNotNull()).select(content_hash(F.col(text)).alias("h"), F.col(text).alias("text"))
-    return distinct_by_hash(texts).mapInArrow(_count(path or os.path.join(TOKENIZER_DIR, VOCABULARY)), _COUNTS)
+def distinct_counts(df: DataFrame, text: str = "text", path: str | None = None, keys: list[str] | None = None) -> DataFrame:
+    """h, salt, n_tokens, n_words, n_estimate of each distinct text that isn't null, once for each salt of its rows' keys
+    (one salt without keys)."""
+    salt = salt_of(*map(F.col, keys)) if keys else F.lit(0)
+    texts = df.where(F.col(text).isNotNull()).select(content_hash(F.col(text)).alias("h"), salt.alias("salt"), F.col(text).alias("text"))
+    return distinct_pairs(texts).mapInArrow(_count(path or os.path.join(TOKENIZER_DIR, VOCABULARY)), _COUNTS)
 
 
 def token_counts(df: DataFrame, keep: list[str], text: str = "text", path: str | None = None) -> DataFrame:
     """The columns ``keep`` of every row, with ``n_tokens``, ``n_words`` and ``n_estimate``.
 
     A null text has zero of each; a blank text has the tokens of its white space and no words.  Repeated rows stay
-    repeated.  The join on the hash is left to adaptive execution, which splits the partition of a hot text."""
-    rows = df.select(*(F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)), content_hash(F.col(text)).alias("h"))
-    joined = rows.join(distinct_counts(df, text, path), "h", "left")
+    repeated.  Rows meet the counts on hash and salt, so those of a hot text, and those without one, are spread."""
+    rows = df.select(*(F.col(c).alias(f"k_{i}") for i, c in enumerate(keep)), content_hash(F.col(text)).alias("h"), salt_of(*map(F.col, keep)).alias("salt"))
+    joined = rows.join(distinct_counts(df, text, path, keep), ["h", "salt"], "left")
     zero = F.lit(0).cast("long")
     return joined.select(*(F.col(f"k_{i}").alias(c) for i, c in enumerate(keep)), *(F.coalesce(c, zero).alias(c) for c in ("n_tokens", "n_words", "n_estimate")))
 
