@@ -47,9 +47,10 @@ def p3_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
-    """The whole weekly grid with means in the common unit, filled and carried over weeks without a reading."""
+    """The whole weekly grid with means in the common unit, filled and carried over weeks without a reading, to eleven figures."""
     g = regular_weeks(harmonize_units(table(spark, sf, "canonical"), assume_common=True), averaged="common_value")
-    return g.select("key_plot_id", "target_name", "week_start", "n_readings", "is_missing", "value_mean", "value_filled", "value_carried")
+    figures = [F.format_string("%.10e", c).cast("double").alias(c) for c in ("value_mean", "value_filled", "value_carried")]
+    return g.select("key_plot_id", "target_name", "week_start", "n_readings", "is_missing", *(F.when(F.col(c).isNotNull(), x).alias(c) for c, x in zip(("value_mean", "value_filled", "value_carried"), figures)))
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -86,7 +87,24 @@ _FACTOR = r"""CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies'
         * CASE WHEN regexp_matches(t, 'dry|dw') THEN CASE WHEN regexp_matches(t, 'kg') THEN 1e-3 WHEN regexp_matches(t, 'mg') THEN 1e3 ELSE 1.0 END
           WHEN regexp_matches(t, '100 ?ml') THEN 1e1 WHEN regexp_matches(t, 'ml([^n]|$)|millilit') THEN 1e3 WHEN regexp_matches(t, 'm3|m\^3|cubic') THEN 1e-3 WHEN regexp_matches(t, 'gal') THEN 1 / 3.785411784 ELSE 1.0 END END"""
 
+_FIGURES = "CASE WHEN {0} IS NOT NULL THEN CAST(format('{{:.10e}}', {0}) AS DOUBLE) END"
+_FILLED = (
+    UNITS_SQL
+    + f""", v AS (SELECT row_id, CASE WHEN t IS NULL THEN x WHEN regexp_matches(t, 'log') THEN pow(10.0, x) * {_FACTOR} ELSE x * {_FACTOR} END AS v FROM (SELECT t.*, concentration_value AS x FROM t JOIN canonical USING (row_id))), """
+    + _GRID.removeprefix("WITH ").replace("FROM canonical WHERE", ", v AS cv FROM canonical JOIN v USING (row_id) WHERE", 1).replace("count(*) AS n FROM r", "count(*) AS n, avg(CASE WHEN isinf(cv) THEN NULL ELSE cv END) AS m FROM r", 1)
+    + """, j AS (SELECT g.key_plot_id, g.target_name, g.wk, w.n, w.m, last_value(w.wk IGNORE NULLS) OVER b AS lw, first_value(w.wk IGNORE NULLS) OVER a AS rw
+        FROM g LEFT JOIN w ON w.key_plot_id IS NOT DISTINCT FROM g.key_plot_id AND w.target_name IS NOT DISTINCT FROM g.target_name AND w.wk = g.wk
+        WINDOW b AS (PARTITION BY g.key_plot_id, g.target_name ORDER BY g.wk ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY g.key_plot_id, g.target_name ORDER BY g.wk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+    e AS (SELECT j.*, l.m AS lm, r.m AS rm FROM j JOIN w l ON l.key_plot_id IS NOT DISTINCT FROM j.key_plot_id AND l.target_name IS NOT DISTINCT FROM j.target_name AND l.wk = j.lw
+        JOIN w r ON r.key_plot_id IS NOT DISTINCT FROM j.key_plot_id AND r.target_name IS NOT DISTINCT FROM j.target_name AND r.wk = j.rw),
+    f AS (SELECT *, CASE WHEN n IS NOT NULL THEN m ELSE lm + (rm - lm) * (datediff('day', lw, wk) // 7) / (datediff('day', lw, rw) // 7) END AS filled, CASE WHEN n IS NOT NULL THEN m ELSE lm END AS carried FROM e)
+    SELECT key_plot_id, target_name, strftime(wk, '%Y-%m-%d') AS week_start, coalesce(n, 0) AS n_readings, n IS NULL AS is_missing, """
+    + ", ".join(f"{_FIGURES.format(c)} AS {n}" for c, n in (("m", "value_mean"), ("filled", "value_filled"), ("carried", "value_carried")))
+    + " FROM f"
+)
+
 SQL = {
+    "p3_filled": _FILLED,
     "p4_converted": UNITS_SQL.replace("SELECT row_id, CASE WHEN", "SELECT row_id, concentration_value AS v, CASE WHEN", 1) + f"""SELECT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit,
         CAST(format('{{:.7e}}', common_value) AS DOUBLE) AS common_value FROM (SELECT *, CASE WHEN regexp_matches(t, 'log') THEN pow(10.0, v) ELSE v END * {_FACTOR} AS common_value FROM t WHERE t IS NOT NULL)""",
     "p4_found": UNITS_SQL + r"""SELECT DISTINCT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit
