@@ -184,7 +184,7 @@ def normal_citation(c: Column | str) -> Column:
 def first_sentence(c: Column | str, most: int = 200) -> Column:
     """Up to the first full stop, question or exclamation mark before white space or the end; the first ``most``
     characters where that is longer or missing."""
-    x = F.trim(_c(c))
+    x = F.trim(c if isinstance(c, Column) else _c(c))
     s = F.regexp_extract(x, r"(?s)^(.*?[.!?])(?:\s|$)", 1)
     return F.when((s != "") & (F.length(s) <= most), s).otherwise(F.substring(x, 1, most))
 

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import rrf, sigmoid
-from tidewell.session import materialize
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, key: str, k: int = 60, base: int = 1) -> DataFrame:
@@ -40,7 +39,11 @@ def checkpoint_positions(n: int) -> list[int]:
 
 def checkpoints(dates: DataFrame, date: str, *groups: str) -> DataFrame:
     """The same as a plan: rows of distinct dates by group, of which the checkpoints stay."""
-    distinct = dates.select(*groups, date).where(F.col(date).isNotNull()).distinct()
+    return _at_checkpoints(dates.select(*groups, date).where(F.col(date).isNotNull()).distinct(), date, *groups)
+
+
+def _at_checkpoints(distinct: DataFrame, date: str, *groups: str) -> DataFrame:
+    """Of rows with one date each (by group), those at the checkpoints.  A group's dates are one partition: as many as days."""
     w = Window.partitionBy(*groups).orderBy(date)
     whole = Window.partitionBy(*groups)
     n, i = F.count("*").over(whole), F.row_number().over(w) - 1
@@ -58,29 +61,30 @@ def inject_anchors(
     scored.  Kinds go in order; each sees the ranking as the one before left it and goes on from its slot.  For each: of
     the chunks whose document isn't ranked, the first by ``pos`` of each date; nothing if the newest date of all is
     ranked already; else the checkpoint dates, newest first, each overwriting one slot from the end.  The ranking keeps
-    its order.  Both sides are top-k sized."""
-    have_score = "score" in candidates.columns
-    # written once each: the steps below read them several times
-    state = materialize(ranked.select("slot", key, doc, kind, date, "score").withColumn("used", F.lit(0).cast("long")))
-    n = F.count("*").over(Window.partitionBy())
-    state = state.withColumn("size", n)
-    score = F.coalesce(F.col("score"), F.lit(0.0)) if have_score else F.lit(0.0)
-    kept = candidates.where(F.col(kind).isin(*kinds) & F.col(date).isNotNull()).groupBy(kind, date, doc).agg(F.min_by(F.struct(F.col(key), score.alias("score"), F.col(pos)), F.struct(pos, key)).alias("c"))
-    kept = materialize(kept)
+    its order.
+
+    The ranking is a top-k result, and at most five rows a kind are put into it: these rows alone come to the driver.  Candidates
+    are a table of any size: for each kind one filtered aggregate to dates, with the ranked documents as literals."""
+    spark = ranked.sparkSession
+    shape = ranked.select("slot", key, doc, kind, date, "score")
+    state = {r["slot"]: tuple(r) for r in shape.collect()}
+    score = F.coalesce(F.col("score").cast("double"), F.lit(0.0)) if "score" in candidates.columns else F.lit(0.0)
+    used, size = 0, len(state)
     for name in kinds:
-        organic = state.agg(F.max(F.when(F.col(kind) == name, F.col(date))).alias("organic_date"), F.max("used").alias("used"), F.max("size").alias("size"))
-        new = kept.where(F.col(kind) == name).join(state.select(doc).distinct(), doc, "left_anti")
-        first = new.groupBy(date).agg(F.min_by(F.struct(F.col(f"c.{key}").alias(key), F.col(doc), F.col("c.score").alias("score")), F.struct(f"c.{pos}", f"c.{key}")).alias("c"))
-        newest = first.agg(F.max(date).alias("newest"))
-        chosen = checkpoints(first, date).join(first, date).join(F.broadcast(organic)).join(F.broadcast(newest))
-        chosen = chosen.where(F.col("organic_date").isNull() | (F.col("newest") > F.col("organic_date")))
-        turn = F.row_number().over(Window.orderBy(F.desc(date)))
-        placed = chosen.select(
-            (F.col("size") - F.col("used") - turn).cast("int").alias("slot"), F.col(f"c.{key}").alias(key), F.col(f"c.{doc}").alias(doc), F.lit(name).alias(kind), date, F.col("c.score").alias("score"),
-            (F.col("used") + turn).alias("used"), "size",
-        ).where("slot >= 0")
-        state = materialize(state.join(placed.select("slot"), "slot", "left_anti").unionByName(placed))
-    return state.drop("used", "size")
+        there = sorted({r[2] for r in state.values() if r[2] is not None})
+        dates = [r[4] for r in state.values() if r[3] == name and r[4] is not None]
+        pool = candidates.where((F.col(kind) == name) & F.col(date).isNotNull() & ~F.coalesce(F.col(doc).isin(there), F.lit(False)))
+        first = pool.groupBy(date).agg(F.min_by(F.struct(F.col(key), F.col(doc), score.alias("score")), F.struct(pos, key)).alias("c"))
+        chosen = _at_checkpoints(first, date).select(date, F.col(f"c.{key}"), F.col(f"c.{doc}"), F.col("c.score")).collect()
+        chosen.sort(key=lambda r: r[0], reverse=True)
+        if not chosen or (dates and chosen[0][0] <= max(dates)):
+            continue
+        base = used
+        for turn, (at, k, d, x) in enumerate(chosen, 1):
+            if (slot := size - base - turn) >= 0:
+                state[slot] = (slot, k, d, name, at, x)
+                used = base + turn
+    return spark.createDataFrame([state[k] for k in sorted(state)], shape.schema)
 
 
 def blend(candidates: DataFrame, fused: str = "score", logit: str = "logit", weight: float = 0.7) -> DataFrame:

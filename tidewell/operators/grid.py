@@ -1,10 +1,10 @@
 """Irregular readings onto a regular grid (problem 3).
 
-A series is cut into time shards of ``shard`` weeks.  Readings shrink to one row per series and shard in one aggregate, which
-combines them where they lie: a count and a sum for each week of the shard, so a shard is of one size whatever the number of
-its readings.  A shard's summary is its last reading; a scan over the summaries alone hands each shard the last reading before
-it, which is the state that it carries.  With it all shards are filled independently of one another, each up to its own last
-reading, so a series of any length or weight is spread over tasks.
+Readings shrink to one row per series and week, combined where they lie.  A series is cut into time shards of ``shard`` weeks,
+one row each with its weeks inside (at most ``shard`` of them).  A shard's summary is its last reading; a scan over the
+summaries alone, one narrow row a shard, hands each shard the last reading before it, which is the state that it carries.  With
+it all shards are filled independently of one another, each up to its own last reading, so a series of any length or weight is
+spread over tasks.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def regular_weeks(
     value: str = "concentration_value",
     first: str = "2022-01-03",
     last: str = "2025-12-28",
-    shard: int = 13,
+    shard: int = 26,
     averaged: str | None = None,
 ) -> DataFrame:
     """One row per series and week from its first to its last reading.
@@ -47,13 +47,9 @@ def regular_weeks(
     ).where(F.col("w").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
     # a key that isn't null: both sides of the join below stay where the aggregate has put them
     coded = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    keyed = readings.select(coded(F.col("__s").cast("string")).alias("__s"), coded(F.col("__t")).alias("__t"), F.floor(F.col("w") / shard).cast("int").alias("shard"), (F.col("w") % shard).alias("i"), "c")
-    here = [F.col("i") == i for i in range(shard)]
-    shards = keyed.groupBy("__s", "__t", "shard").agg(
-        *(F.count_if(x).alias(f"n{i}") for i, x in enumerate(here)), *(F.avg(F.when(x, F.col("c"))).alias(f"v{i}") for i, x in enumerate(here))
-    )
-    week = lambda i: F.struct((F.col("shard") * shard + i).alias("w"), F.col(f"n{i}").alias("n"), F.col(f"v{i}").alias("v"))
-    shards = shards.select("__s", "__t", "shard", F.filter(F.array(*map(week, range(shard))), lambda x: x["n"] > 0).alias("weeks"))
+    keyed = readings.select(coded(F.col("__s").cast("string")).alias("__s"), coded(F.col("__t")).alias("__t"), F.floor(F.col("w") / shard).cast("int").alias("shard"), "w", "c")
+    weekly = keyed.groupBy("__s", "__t", "shard", "w").agg(F.count("*").alias("n"), F.avg("c").alias("v"))
+    shards = weekly.groupBy("__s", "__t", "shard").agg(F.array_sort(F.collect_list(F.struct("w", "n", "v"))).alias("weeks"))
     # carry states, by a scan over shard summaries
     series = Window.partitionBy("__s", "__t").orderBy("shard")
     before = shards.select("__s", "__t", "shard", F.element_at("weeks", -1).alias("tail")).select("__s", "__t", "shard", F.lag("tail").over(series).alias("before"))

@@ -69,31 +69,43 @@ def capped_top(scores: DataFrame, group: Column, order: list[Column], per_group:
     return scores.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= per_group).drop("__rn").orderBy(*order).limit(limit)
 
 
-def _count_grams(key_type: pa.DataType):
-    """1- and 2-grams of each document with their counts, counted where the document is: what leaves the task is one row
-    for each distinct gram, and needs no shuffle by document."""
+def _count_terms(key_type: pa.DataType, most: int):
+    """Terms of up to ``most`` tokens of each document with their counts, counted where the document is: what leaves the task is
+    one row for each distinct term, and needs no shuffle by document; and one without a term, with the number of tokens."""
+    names = ["key", "lang", "term", "tf", "dl"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, terms, counts = [], [], []
-            for key, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                many = Counter(tokens)
-                many.update(map(" ".join, zip(tokens, tokens[1:])))
-                keys += [key] * len(many)
-                terms += many.keys()
-                counts += many.values()
-            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(terms, pa.string()), pa.array(counts, pa.int64())], names=["key", "term", "tf"])
+            keys, langs, terms, counts, lengths = [], [], [], [], []
+            for key, lang, tokens in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                many: Counter = Counter(tokens)
+                for n in range(2, most + 1):
+                    many.update(map(" ".join, zip(*(tokens[k:] for k in range(n)))))
+                size = len(many) + 1
+                keys += [key] * size
+                langs += [lang] * size
+                lengths += [len(tokens)] * size
+                terms += [*many.keys(), None]
+                counts += [*many.values(), len(tokens)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), pa.array(langs, pa.string()), pa.array(terms, pa.string()), pa.array(counts, pa.int64()), pa.array(lengths, pa.int64())], names=names)
 
     return run
 
 
-def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key, term, tf of every document's 1- and 2-grams."""
+def count_terms(docs: DataFrame, tokens: Column, most: int) -> DataFrame:
+    """key, lang, term, tf, dl of every document (key, lang, text): terms of 1 to ``most`` tokens, and a row without a term whose tf
+    is the number of tokens."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    kind = docs.schema[key].dataType
-    tokens = spread(docs.where(F.col(text).isNotNull()).select(key, text)).select(key, term_tokens(text).alias("tokens"))
-    return tokens.mapInArrow(_count_grams(to_arrow_type(kind)), f"key {kind.simpleString()}, term string, tf long").withColumnRenamed("key", key)
+    kind = docs.schema["key"].dataType
+    split = spread(docs).select("key", "lang", tokens.alias("tokens"))
+    return split.mapInArrow(_count_terms(to_arrow_type(kind), most), f"key {kind.simpleString()}, lang string, term string, tf long, dl long")
+
+
+def gram_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """key, term, tf of every document's 1- and 2-grams."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.lit("").alias("lang"), F.col(text).alias("text"))
+    return count_terms(rows, term_tokens("text"), 2).where("term is not null").select(F.col("key").alias(key), "term", "tf")
 
 
 def vocabulary(docs: DataFrame, key: str, text: str, min_df: int = 2, most: int | None = 100_000) -> DataFrame:

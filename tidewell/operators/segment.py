@@ -20,29 +20,24 @@ def paragraphs(df: DataFrame, keys: list[str], text: str = "text", least: int =
 def pack_paragraphs(df: DataFrame, keys: list[str], limit: int = LIMIT, doc: str | None = None) -> DataFrame:
     """Greedy packing of ``paras`` (ordered array of page and text) into chunks, as one fold in the JVM.
 
-    A paragraph that would take the buffer over the limit closes it; the closed chunk gets the first sentence of that
-    paragraph as overlap.  Paragraphs are never cut.  A chunk's page is that of its first paragraph; numbers are from 0."""
-    empty = F.array().cast("array<string>")
-    zero = F.struct(
-        F.array().cast("array<struct<page_num:int,text:string>>").alias("done"), empty.alias("buf"), F.lit(0).alias("size"), F.lit(None).cast("int").alias("page")
-    )
+    A paragraph that would take the chunk over the limit starts the next; the closed chunk gets the first sentence of that
+    paragraph as overlap.  Paragraphs are never cut.  A chunk's page is that of its first paragraph; numbers are from 0.
+    The fold numbers where chunks start; texts are joined afterwards from slices, each once."""
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("size"), F.lit(0).alias("i"))
 
-    def step(acc: Column, p: Column) -> Column:
-        over = (F.size(acc["buf"]) > 0) & (acc["size"] + F.length(p["text"]) > limit)
-        closed = F.struct(acc["page"].alias("page_num"), F.array_join(F.concat(acc["buf"], F.array(first_sentence(p["text"]))), "\n\n").alias("text"))
+    def step(acc: Column, n: Column) -> Column:
+        over = (acc["i"] == 0) | (acc["size"] + n > limit)
         return F.struct(
-            F.when(over, F.concat(acc["done"], F.array(closed))).otherwise(acc["done"]).alias("done"),
-            F.when(over, F.array(p["text"])).otherwise(F.concat(acc["buf"], F.array(p["text"]))).alias("buf"),
-            F.when(over, F.length(p["text"])).otherwise(acc["size"] + F.length(p["text"])).alias("size"),
-            F.when(over | (F.size(acc["buf"]) == 0), p["page_num"]).otherwise(acc["page"]).alias("page"),
+            F.when(over, F.concat(acc["starts"], F.array(acc["i"]))).otherwise(acc["starts"]).alias("starts"), F.when(over, n).otherwise(acc["size"] + n).alias("size"), (acc["i"] + 1).alias("i")
         )
 
-    def finish(acc: Column) -> Column:
-        rest = F.struct(acc["page"].alias("page_num"), F.array_join(acc["buf"], "\n\n").alias("text"))
-        return F.when(F.size(acc["buf"]) > 0, F.concat(acc["done"], F.array(rest))).otherwise(acc["done"])
-
-    packed = df.select(*keys, F.posexplode(F.aggregate("paras", zero, step, finish)).alias("chunk_idx", "c"))
-    out = packed.select(*keys, "chunk_idx", F.col("c.page_num").alias("page_num"), F.col("c.text").alias("text"))
+    folded = df.withColumn("__starts", F.aggregate(F.transform("paras", lambda p: F.length(p["text"])), zero, step)["starts"])
+    at = folded.select(*keys, "paras", "__starts", F.posexplode("__starts").alias("chunk_idx", "__from"))
+    end = F.coalesce(F.get("__starts", F.col("chunk_idx") + 1), F.size("paras"))
+    body = F.array_join(F.transform(F.slice("paras", F.col("__from") + 1, end - F.col("__from")), lambda p: p["text"]), "\n\n")
+    lead = F.get("paras", end)["text"]
+    text = F.when(lead.isNotNull(), F.concat(body, F.lit("\n\n"), first_sentence(lead))).otherwise(body)
+    out = at.select(*keys, "chunk_idx", F.get("paras", F.col("__from"))["page_num"].alias("page_num"), text.alias("text"))
     return out.withColumn("chunk_id", F.format_string("%s_%04d", F.col(doc).cast("string"), "chunk_idx")) if doc else out
 
 

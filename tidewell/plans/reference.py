@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as T
 from tidewell.functions.dates import any_date, iso_date
 from tidewell.operators import catalog, dense, evaluate, fusion, harmonize, lexical, segment
+from tidewell.operators.index import LexicalIndex, index_of
 from tidewell.session import table
 
 QUERIES = {}
@@ -143,9 +144,21 @@ def _bm25_sql(tail: str) -> str:
     s AS (SELECT doc_id, source, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM p JOIN k USING (t), c GROUP BY 1, 2) {tail}"""
 
 
+def _index(spark: SparkSession, sf: str, kind: str) -> LexicalIndex:
+    """The kept index of documents: fitted by whichever query comes first, loaded by all others."""
+    return index_of(spark, f"{sf}/documents.parquet", kind, "doc_id", "text")
+
+
 def _bm25(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return lexical.bm25_scores(docs, BM25_QUERY).withColumn("score", F.round("score", 6))
+    return _index(spark, sf, "bm25").bm25(BM25_QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH tok AS (SELECT doc_id, {_WORDS} AS ts FROM documents WHERE text IS NOT NULL), c AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM tok),
+    df AS (SELECT t, count(*) AS df FROM (SELECT doc_id, unnest(list_distinct(ts)) AS t FROM tok) GROUP BY t), w AS (SELECT ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, c)
+    SELECT 'bm25' AS kind, any_value(n) AS n_docs, count(*) AS n_terms, round(any_value(avgdl), 6) AS mean_length, round(avg(idf), 6) AS mean_idf FROM w, c""")
+def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
+    """What the kept index knows of its corpus."""
+    return _index(spark, sf, "bm25").table("corpus").select(F.lit("bm25").alias("kind"), "n_docs", "n_terms", F.round("avgdl", 6).alias("mean_length"), F.round("mean_idf", 6).alias("mean_idf"))
 
 
 @query(_bm25_sql("SELECT doc_id, score FROM s ORDER BY score DESC, doc_id LIMIT 30"))
@@ -171,13 +184,14 @@ _GRAMS = f"""tok AS (SELECT doc_id, {_TERMS} AS ts FROM documents WHERE text IS
     qn AS (SELECT sqrt(sum(wq * wq)) AS qn FROM q)
     SELECT doc_id, round(sum(w * wq) / any_value(norm * qn), 6) AS score FROM w JOIN q USING (t) JOIN norm USING (doc_id), qn GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 30""")
 def tfidf_topk(spark: SparkSession, sf: str) -> DataFrame:
-    s = lexical.tfidf_scores(table(spark, sf, "documents"), TFIDF_QUERY).withColumn("score", F.round("score", 6))
+    s = _index(spark, sf, "tfidf").tfidf(TFIDF_QUERY).select(F.col("key").alias("doc_id"), F.round("score", 6).alias("score"))
     return s.orderBy(F.desc("score"), "doc_id").limit(30)
 
 
 @query(f"WITH {_GRAMS} SELECT t AS term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS total FROM p GROUP BY t HAVING count(*) >= 2 ORDER BY total DESC, term LIMIT 100000")
 def tfidf_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.vocabulary(table(spark, sf, "documents"), "doc_id", "text")
+    v = _index(spark, sf, "tfidf").table("terms")
+    return v.orderBy(F.desc("total"), "term").limit(100_000).select("term", "df", "total")
 
 
 def _query_vector(spark: SparkSession, sf: str) -> list[float]:
@@ -244,18 +258,57 @@ def temporal_checkpoints(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.checkpoints(table(spark, sf, "orders"), "o_orderdate", "o_orderpriority")
 
 
-@query()
+def _bm25_on(rows: str, key: str, query: list[str]) -> str:
+    """CTEs that end in s(key, score), over rows(key, text)."""
+    many = {t: query.count(t) for t in query}
+    q = ", ".join(f"('{t}', {n})" for t, n in many.items())
+    return f"""tok AS (SELECT {key}, {_WORDS} AS ts FROM {rows} WHERE text IS NOT NULL), d AS (SELECT {key}, len(ts) AS dl, ts FROM tok), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM d),
+    df AS (SELECT t, count(*) AS df FROM (SELECT {key}, unnest(list_distinct(ts)) AS t FROM d) GROUP BY t), w AS (SELECT t, ln(n - df + 0.5) - ln(df + 0.5) AS idf FROM df, c), m AS (SELECT avg(idf) AS mi FROM w), q(t, qn) AS (VALUES {q}),
+    k AS (SELECT q.t, qn, CASE WHEN idf < 0 THEN 0.25 * mi ELSE idf END AS idf FROM q JOIN w USING (t), m), p AS (SELECT {key}, dl, t, count(*) AS tf FROM (SELECT {key}, dl, unnest(ts) AS t FROM d) GROUP BY ALL),
+    s AS (SELECT {key}, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM p JOIN k USING (t), c GROUP BY 1)"""
+
+
+def _anchor_step(n: int, kind: str) -> str:
+    """CTEs st{n}, of the ranking after a kind's anchors, and u{n}, of the slots used by then."""
+    b, a = n - 1, n
+    return f"""pool{a} AS (SELECT * FROM ch WHERE doc_type = '{kind}' AND date IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM st{b} WHERE doc_id IS NOT NULL)),
+    f{a} AS (SELECT * FROM pool{a} QUALIFY row_number() OVER (PARTITION BY date ORDER BY pos, chunk_id) = 1), r{a} AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM f{a}),
+    c{a} AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS turn FROM r{a} WHERE n <= 5 OR i IN (n // 2 - 2, n // 2 - 1, n // 2, CAST(round_even(0.6 * (n - 1), 0) AS BIGINT), n - 1)),
+    o{a} AS (SELECT max(date) AS organic FROM st{b} WHERE doc_type = '{kind}'), z{a} AS (SELECT count(*) AS size FROM st0),
+    pl{a} AS (SELECT size - used - turn AS slot, chunk_id, doc_id, doc_type, date, 0.0 AS score, used + turn AS now FROM c{a}, o{a}, z{a}, u{b} WHERE (organic IS NULL OR (SELECT max(date) FROM c{a}) > organic) AND size - used - turn >= 0),
+    st{a} AS (SELECT * FROM st{b} WHERE slot NOT IN (SELECT slot FROM pl{a}) UNION ALL SELECT slot, chunk_id, doc_id, doc_type, date, score FROM pl{a}), u{a} AS (SELECT coalesce(max(now), any_value(used)) AS used FROM u{b} LEFT JOIN pl{a} ON true)"""
+
+
+_CHUNKS = "ch AS (SELECT DISTINCT chunk_id, doc_id, doc_type, institution, date, text, doc_id || ' ' || printf('%09d', chunk_idx) AS pos FROM chunk)"
+
+
+@query(f"""WITH {_CHUNKS}, {_bm25_on('ch', 'chunk_id', BM25_QUERY)}, b0 AS (SELECT ch.*, score FROM s JOIN ch USING (chunk_id) WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
+    st0 AS (SELECT row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS slot, chunk_id, doc_id, doc_type, date, score FROM b0 ORDER BY score DESC, chunk_id LIMIT 12), u0 AS (SELECT 0 AS used),
+    {", ".join(_anchor_step(n + 1, k) for n, k in enumerate(ANCHORS))} SELECT CAST(slot AS INTEGER) AS slot, chunk_id, doc_id, doc_type, date, round(score, 6) AS score FROM st{len(ANCHORS)}""")
 def anchor_injection(spark: SparkSession, sf: str) -> DataFrame:
     """The best twelve chunks by BM25, one a document, with anchors of two kinds put into the last slots."""
-    chunks = table(spark, sf, "chunk").dropDuplicates(["chunk_id"]).withColumn("pos", F.concat_ws(" ", "doc_id", F.format_string("%09d", "chunk_idx")))
+    chunks, scored = _scored_chunks(spark, sf, BM25_QUERY)
     meta = chunks.select("chunk_id", "doc_id", "doc_type", "date", "pos")
-    scored = lexical.bm25_scores(chunks, BM25_QUERY, "chunk_id").where("score > 0").join(meta, "chunk_id")
-    best = fusion.best_per_document(scored, "doc_id", "chunk_id", 12)
+    best = fusion.best_per_document(scored.where("score > 0").join(meta, "chunk_id"), "doc_id", "chunk_id", 12)
     ranked = best.withColumn("slot", F.row_number().over(Window.orderBy(F.desc("score"), "chunk_id")) - 1)
     out = fusion.inject_anchors(ranked, meta, ANCHORS)
     return out.select("slot", "chunk_id", "doc_id", "doc_type", "date", F.round("score", 6).alias("score"))
 
 
+def _chunk_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks, without repeats, with their place in reading order."""
+    return table(spark, sf, "chunk").dropDuplicates(["chunk_id"]).withColumn("pos", F.concat_ws(" ", "doc_id", F.format_string("%09d", "chunk_idx")))
+
+
+def _chunk_index(spark: SparkSession, sf: str) -> LexicalIndex:
+    return index_of(spark, f"{sf}/chunk.parquet", "bm25", "chunk_id", "text", docs=_chunk_rows(spark, sf))
+
+
+def _scored_chunks(spark: SparkSession, sf: str, query: list[str]) -> tuple[DataFrame, DataFrame]:
+    scores = _chunk_index(spark, sf).bm25(query).select(F.col("key").alias("chunk_id"), F.round("score", 9).alias("score"))
+    return _chunk_rows(spark, sf), scores
+
+
 @query("""WITH c AS (SELECT o_orderkey, o_totalprice / 1000.0 AS score, (o_custkey % 7) - 3.0 AS logit FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 200),
     m AS (SELECT max(score) AS most FROM c) SELECT o_orderkey, round(0.7 * score / most + 0.3 / (1 + exp(-logit)), 6) AS blended FROM c, m ORDER BY blended DESC, o_orderkey LIMIT 20""")
 def blend_rerank(spark: SparkSession, sf: str) -> DataFrame:
@@ -264,7 +317,12 @@ def blend_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.blend(c).orderBy(F.desc("blended"), "o_orderkey").limit(20).select("o_orderkey", "blended")
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT doc_id, trim(x) AS x, length(trim(x)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM l WHERE length(trim(x)) >= 20),
+    w AS (SELECT doc_id, pos, n AS size, 0 AS k FROM p WHERE pos = 1 UNION ALL SELECT p.doc_id, p.pos, CASE WHEN w.size + p.n > 1600 THEN p.n ELSE w.size + p.n END, w.k + CASE WHEN w.size + p.n > 1600 THEN 1 ELSE 0 END FROM w JOIN p ON p.doc_id = w.doc_id AND p.pos = w.pos + 1),
+    t AS (SELECT doc_id, k, string_agg(x, chr(10) || chr(10) ORDER BY pos) AS body, max(pos) AS last FROM w JOIN p USING (doc_id, pos) GROUP BY 1, 2),
+    f AS (SELECT t.*, p.x AS nx, regexp_extract(p.x, '(?s)^(.*?[.!?])(?:\\s|$)', 1) AS fs FROM t LEFT JOIN p ON p.doc_id = t.doc_id AND p.pos = t.last + 1)
+    SELECT doc_id, k AS chunk_idx, 1 AS page_num, body || CASE WHEN nx IS NULL THEN '' ELSE chr(10) || chr(10) || CASE WHEN fs <> '' AND length(fs) <= 200 THEN fs ELSE substr(nx, 1, 200) END END AS text, printf('%s_%04d', CAST(doc_id AS VARCHAR), k) AS chunk_id FROM f""")
 def chunk_pack(spark: SparkSession, sf: str) -> DataFrame:
     """Greedy packing of every document's paragraphs."""
     return segment.pack_paragraphs(segment.paragraphs(table(spark, sf, "documents"), ["doc_id"]), ["doc_id"], doc="doc_id")
@@ -292,31 +350,35 @@ _SUBS = """WITH r AS (SELECT DISTINCT version_id, act, part, division, section,
     t AS (SELECT *, 'note [' || concat_ws(', ', 'Part ' || nullif(p0, ''), 'Division ' || nullif(d0, '')) || ']' AS prefix,
         concat_ws(' ', nullif(intro, ''), nullif(array_to_string(list_transform(ps, lambda p: '(' || p.label || ') ' || p.text), ' '), '')) AS full_text FROM s),
     u AS (SELECT *, 'ITA s.' || section || CASE WHEN label <> '' THEN '(' || label || ')' ELSE '' END AS cite, CAST(floor(len(regexp_extract_all(full_text, '\\S+')) * 1.3) AS INTEGER) AS n FROM t WHERE trim(full_text) <> '') """
-_WHOLE = "SELECT version_id, cite AS citation, sha256(prefix || ' — ' || trim(full_text)) AS h FROM u WHERE n <= 400 OR len(ps) = 0"
+_WHOLE = "SELECT version_id, cite AS citation, prefix || ' — ' || trim(full_text) AS x FROM u WHERE n <= 400 OR len(ps) = 0"
+_STRICT = _WHOLE + " UNION ALL SELECT version_id, cite || '(' || p.label || ')', prefix || ' — ' || trim('(' || p.label || ') ' || p.text) FROM (SELECT *, unnest(ps) AS p FROM u WHERE n > 400)"
+_HIER = _WHOLE + """ UNION ALL SELECT version_id, cite || '(' || p.label || ')', prefix || CASE WHEN label <> '' THEN ' — s.' || section || '(' || label || ')' ELSE '' END || ' — ' ||
+    trim(CASE WHEN i = 1 AND coalesce(intro, '') <> '' THEN intro || ' ' ELSE '' END || '(' || p.label || ') ' || p.text) FROM (SELECT *, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM u WHERE n > 400)"""
+_SLIDING = """SELECT version_id, cite AS citation, prefix || ' — ' || trim(full_text || CASE WHEN len(np) > 0 THEN ' [overlap→' || nl || '] (' || np[1].label || ') ' || np[1].text
+    WHEN coalesce(ni, '') <> '' THEN ' [overlap→' || nl || '] ' || substr(ni, 1, 200) ELSE '' END) AS x FROM u"""
 
 
 def _digest(chunks: DataFrame) -> DataFrame:
     return chunks.select("citation", F.sha2("text", 256).alias("h"))
 
 
-@query(_SUBS + f"""SELECT citation, h FROM ({_WHOLE}) UNION ALL SELECT cite || '(' || p.label || ')', sha256(prefix || ' — ' || trim('(' || p.label || ') ' || p.text)) FROM (SELECT *, unnest(ps) AS p FROM u WHERE n > 400)""")
+@query(_SUBS + f"SELECT citation, sha256(x) AS h FROM ({_STRICT})")
 def section_strict(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(segment.strict_subsections(_sections(spark, sf)))
 
 
-@query(_SUBS + f"""SELECT citation, h FROM ({_WHOLE}) UNION ALL SELECT cite || '(' || p.label || ')', sha256(prefix || CASE WHEN label <> '' THEN ' — s.' || section || '(' || label || ')' ELSE '' END || ' — ' ||
-    trim(CASE WHEN i = 1 AND coalesce(intro, '') <> '' THEN intro || ' ' ELSE '' END || '(' || p.label || ') ' || p.text)) FROM (SELECT *, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM u WHERE n > 400)""")
+@query(_SUBS + f"SELECT citation, sha256(x) AS h FROM ({_HIER})")
 def section_hier(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(segment.hierarchical_subsections(_sections(spark, sf)))
 
 
-@query(_SUBS + """SELECT cite AS citation, sha256(prefix || ' — ' || trim(full_text || CASE WHEN len(np) > 0 THEN ' [overlap→' || nl || '] (' || np[1].label || ') ' || np[1].text
-    WHEN coalesce(ni, '') <> '' THEN ' [overlap→' || nl || '] ' || substr(ni, 1, 200) ELSE '' END)) AS h FROM u""")
+@query(_SUBS + f"SELECT citation, sha256(x) AS h FROM ({_SLIDING})")
 def section_sliding(spark: SparkSession, sf: str) -> DataFrame:
     return _digest(segment.sliding_subsections(_sections(spark, sf)))
 
 
-@query()
+@query(_SUBS + f"""SELECT strategy, count(*) AS n_chunks, round(avg(n), 4) AS mean_tokens, max(n) AS most_tokens FROM (SELECT strategy, CAST(floor(len(regexp_extract_all(x, '\\S+')) * 1.3) AS INTEGER) AS n FROM
+    (SELECT 'strict_subsection' AS strategy, x FROM ({_STRICT}) UNION ALL SELECT 'hierarchical', x FROM ({_HIER}) UNION ALL SELECT 'sliding_window', x FROM ({_SLIDING}))) GROUP BY 1""")
 def strategy_report(spark: SparkSession, sf: str) -> DataFrame:
     return segment.strategy_report(segment.all_strategies(_sections(spark, sf)))
 

@@ -40,10 +40,13 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
     spark.conf.set("spark.checkpoint.dir", made)
+    fs, where = file_system(spark, made)
+    fs.deleteOnExit(where)
     return made
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of a path, and the path as its own."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
@@ -52,7 +55,7 @@ def _written(df: DataFrame) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    fs, where = _file_system(spark, path)
+    fs, where = file_system(spark, path)
     fs.deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -78,7 +81,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         yield keep
     finally:
         for path in made:
-            fs, where = _file_system(spark, path)
+            fs, where = file_system(spark, path)
             fs.delete(where, True)
 
 
