@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import uuid5
+from tidewell.session import file_system
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -43,25 +44,28 @@ def replace_partition(rows: DataFrame, path: str, by: list[str]) -> None:
 
 
 def staged_overwrite(spark: SparkSession, rows: DataFrame, path: str) -> None:
-    """Write beside the table, then put it in place by renames, so a failed job leaves the old table."""
-    jvm = spark.sparkContext._jvm
+    """Write beside the table, then put it in place by renames.  A failed job leaves the old table; after a failure between the
+    two renames it lies beside its place, where :func:`read_or_empty` finds it, and is put back before the next write."""
     staged, aside = f"{path}.staged", f"{path}.old"
+    fs, where = file_system(spark, path)
+    at = lambda p: file_system(spark, p)[1]
+    if not fs.exists(where) and fs.exists(at(aside)):
+        fs.rename(at(aside), where)
     rows.write.mode("overwrite").parquet(staged)
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+    fs.delete(at(aside), True)
     if fs.exists(where):
-        fs.rename(where, jvm.org.apache.hadoop.fs.Path(aside))
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), where)
-    fs.delete(jvm.org.apache.hadoop.fs.Path(aside), True)
+        fs.rename(where, at(aside))
+    fs.rename(at(staged), where)
+    fs.delete(at(aside), True)
 
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table, or no rows of its schema where there is none yet."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+    """A table, or the one that an interrupted write left beside it, or no rows of its schema where there is none yet."""
+    fs, where = file_system(spark, path)
+    if fs.exists(where):
         return spark.read.schema(schema).parquet(path)
+    if fs.exists(file_system(spark, f"{path}.old")[1]):
+        return spark.read.schema(schema).parquet(f"{path}.old")
     return spark.createDataFrame([], schema)
 
 
@@ -92,6 +96,17 @@ def latest_versions(runs: DataFrame) -> DataFrame:
     return last_by_key(runs, ["act", "language"], [F.col("ingested_at"), F.col("version_id")])
 
 
+def version_diff(rows: DataFrame, runs: DataFrame, key: str = "citation", text: str = "text", run: str = "version_id") -> DataFrame:
+    """act, language, key, change: the rows that differ between the newest run of each act and language and the one before it."""
+    w = Window.partitionBy("act", "language").orderBy(F.desc("ingested_at"), F.desc(run))
+    order = runs.withColumn("__n", F.row_number().over(w)).where("__n <= 2").select("act", "language", run, F.col("__n").alias("n"))
+    placed = rows.select(run, key, F.md5(text).alias("h")).join(order, run).groupBy("act", "language", key).agg(
+        F.max(F.when(F.col("n") == 1, F.struct("h"))).alias("new"), F.max(F.when(F.col("n") == 2, F.struct("h"))).alias("old")
+    )
+    change = F.when(F.col("old").isNull(), F.lit("added")).when(F.col("new").isNull(), F.lit("removed")).when(~F.col("new.h").eqNullSafe(F.col("old.h")), F.lit("changed"))
+    return placed.select("act", "language", key, change.alias("change")).where("change is not null")
+
+
 def version_exists(runs: DataFrame, version_hash: str, act: str, language: str) -> bool:
     return not runs.where((F.col("version_hash") == version_hash) & (F.col("act") == act) & (F.col("language") == language)).isEmpty()
 

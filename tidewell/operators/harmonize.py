@@ -97,6 +97,11 @@ def value_counts(df: DataFrame, column: str, with_null: bool = False) -> DataFra
     return kept.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
 
 
+def values_first_seen(df: DataFrame, column: str, order: str) -> DataFrame:
+    """value, first_seen: distinct values, null too, with the place of the first; to be sorted by it for display."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.min(order).alias("first_seen"))
+
+
 def two_key_inventory(df: DataFrame, a: str, b: str) -> DataFrame:
     """Counts by two keys, and the total, as one pass of grouping sets."""
     return df.groupingSets([[F.col(a), F.col(b)], []], F.col(a), F.col(b)).agg(F.count("*").alias("n"), F.grouping_id().alias("gid"))

@@ -18,6 +18,10 @@ from tidewell.operators.lexical import Bm25, count_terms
 from tidewell.session import file_system, scratch, shared_dir
 
 
+#: Scores are rounded, so that equal documents tie, whatever the order of their sums, and ties go by key.
+PLACES = 9
+
+
 class LexicalIndex:
     """The tables ``postings``, ``terms`` and ``corpus`` under ``path``.  The corpus is written last: an index whose corpus isn't
     whole isn't there.  ``kind`` is 'bm25' or 'tfidf'; keys are of the documents' type."""
@@ -92,7 +96,7 @@ class LexicalIndex:
         )
         tf = F.col("tf")
         gain = F.col("qn") * F.col("idf") * tf * (r.k1 + 1) / (tf + r.k1 * (1 - r.b + r.b * F.col("dl") / F.col("avgdl")))
-        return self._rows("postings", list(many), lang).join(F.broadcast(known), "term").groupBy("key").agg(F.sum(gain).alias("score"))
+        return self._rows("postings", list(many), lang).join(F.broadcast(known), "term").groupBy("key").agg(F.round(F.sum(gain), PLACES).alias("score"))
 
     def tfidf(self, query: str, lang: str = "") -> DataFrame:
         """key, score: the cosine with the query.  Terms that aren't in the vocabulary are dropped; without any there are no rows."""
@@ -101,7 +105,7 @@ class LexicalIndex:
         q = self._rows("terms", list(many), lang).select("term", ((1 + F.log(self._asked(many))) * F.col("idf")).alias("wq"))
         norm = q.agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("qnorm"))
         dots = self._rows("postings", list(many), lang).join(F.broadcast(q), "term").groupBy("key").agg(F.sum(F.col("w") * F.col("wq")).alias("dot"))
-        return dots.join(F.broadcast(norm)).select("key", (F.col("dot") / F.col("qnorm")).alias("score"))
+        return dots.join(F.broadcast(norm)).select("key", F.round(F.col("dot") / F.col("qnorm"), PLACES).alias("score"))
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:

@@ -12,6 +12,7 @@ from tidewell.functions.text import expand_tokens, normal_citation, source_block
 from tidewell.operators import dense as dense_ops
 from tidewell.operators.catalog import valid_on
 from tidewell.operators.fusion import best_per_document, blend, boost, fuse, inject_anchors
+from tidewell.operators.index import LexicalIndex
 from tidewell.operators.lexical import bm25_scores, capped_top, tfidf_scores
 
 #: Fixed values: (all of these patterns must be found, what is added to the query then), in order.
@@ -71,11 +72,13 @@ def hybrid_search(
     sparse_k: int = 30,
     per_doc: int = 2,
     rrf_k: int = 60,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """slot, chunk and its scores: dense and lexical rankings, fused, boosted, one chunk a document, anchors injected.
 
     chunks: chunk_id, doc_id, institution, doc_type, date, pos, text, ...; vectors: chunk_id, embedding.  Institution and
-    kind filter before the dense top-k, dates after it; the lexical ranking is filtered whole and capped per document."""
+    kind filter before the dense top-k, dates after it; the lexical ranking is filtered whole and capped per document.
+    ``index``: a kept BM25 index of the chunks by chunk_id; without it the corpus is read for this query."""
     from pyspark.sql import Window
 
     before = chunk_filter(institution, doc_type)
@@ -84,7 +87,9 @@ def hybrid_search(
     allowed = vectors if institution is None and doc_type is None else vectors.join(meta.where(before).select("chunk_id"), "chunk_id", "left_semi")
     pool = dense_ops.top(dense_ops.similar(allowed, list(query_vector), "chunk_id"), dense_k, "chunk_id").drop("rank")
     d = dense_ops.ranked(pool.join(meta, "chunk_id").where(whole).select("chunk_id", "score"), "chunk_id")
-    scored = bm25_scores(chunks, expand_tokens(query.lower().split()), "chunk_id").where("score > 0").join(meta, "chunk_id").where(whole)
+    tokens = expand_tokens(query.lower().split())
+    scores = bm25_scores(chunks, tokens, "chunk_id") if index is None else index.bm25(tokens).withColumnRenamed("key", "chunk_id")
+    scored = scores.where("score > 0").join(meta, "chunk_id").where(whole)
     order = [F.desc("score"), F.col("pos"), F.col("chunk_id")]
     s = dense_ops.ranked(capped_top(scored, F.col("doc_id"), order, per_doc, sparse_k), "chunk_id", order)
     fused = fuse(d, s, "chunk_id", rrf_k).join(meta, "chunk_id")
@@ -111,9 +116,11 @@ def statute_search(
     logits: DataFrame | None = None,
     rrf_k: int = 2,
     rrf_base: int = 0,
+    index: LexicalIndex | None = None,
 ) -> DataFrame:
     """The best chunks of one language: dense and TF-IDF rankings of top_k * 20 each, fused, and reranked where logits
-    (chunk_id, logit) are given.  ``as_of`` filters only if told to.  A query without known terms is ranked by vectors alone."""
+    (chunk_id, logit) are given.  ``as_of`` filters only if told to.  A query without known terms is ranked by vectors alone.  ``index``: a kept TF-IDF index by
+    language, whose statistics are those of the whole language; without it the kept chunks are fitted for this query."""
     kept = chunks.where(F.col("language") == language)
     if act:
         kept = kept.where(F.col("act") == act)
@@ -121,7 +128,11 @@ def statute_search(
         kept = valid_on(kept, as_of)
     pool = top_k * 20
     d = dense_ops.top(dense_ops.similar(vectors.join(kept.select("chunk_id"), "chunk_id", "left_semi"), list(query_vector), "chunk_id"), pool, "chunk_id")
-    s = dense_ops.top(tfidf_scores(kept, expand_query(query), "chunk_id"), pool, "chunk_id")
+    if index is None:
+        scores = tfidf_scores(kept, expand_query(query), "chunk_id")
+    else:
+        scores = index.tfidf(expand_query(query), language).withColumnRenamed("key", "chunk_id").join(kept.select("chunk_id"), "chunk_id", "left_semi")
+    s = dense_ops.top(scores, pool, "chunk_id")
     fused = fuse(d, s, "chunk_id", rrf_k, rrf_base).orderBy(F.desc("score"), "chunk_id").limit(pool)
     if logits is not None:
         fused = blend(fused.join(logits, "chunk_id", "left")).withColumn("score", F.col("blended")).drop("blended", "logit")

@@ -82,7 +82,7 @@ UNITS_SQL = r"""WITH c AS (SELECT row_id, concentration_value, lower(concentrati
     '\(sample volume[^)]*\)|; flow given in[^;]*|; detection limit[^;]*|, surrogate spiked[^;]*|; recovery[^;]*|; duplicate wells[^;]*', '', 'g') AS m FROM canonical),
     t AS (SELECT row_id, CASE WHEN regexp_matches(u, 'cop|gc|cp/|ratio|pmmov') THEN u WHEN regexp_matches(m, 'cop|gc|cp/|ratio|percent of|ppm of|% of') THEN m END AS t FROM c WHERE concentration_value IS NOT NULL) """
 
-_FACTOR = r"""CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN CASE WHEN regexp_matches(t, 'ppm|per million|10\^-6') THEN 1e-6 WHEN regexp_matches(t, 'per 1000|10\^-3') THEN 1e-3 WHEN regexp_matches(t, '%|percent') THEN 1e-2 ELSE 1.0 END
+FACTOR_SQL = r"""CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN CASE WHEN regexp_matches(t, 'ppm|per million|10\^-6') THEN 1e-6 WHEN regexp_matches(t, 'per 1000|10\^-3') THEN 1e-3 WHEN regexp_matches(t, '%|percent') THEN 1e-2 ELSE 1.0 END
     ELSE CASE WHEN regexp_matches(t, '10\^6|1e6|mln|million') THEN 1e6 WHEN regexp_matches(t, '10\^3|x1000|thousand|kilocop') THEN 1e3 ELSE 1.0 END
         * CASE WHEN regexp_matches(t, 'dry|dw') THEN CASE WHEN regexp_matches(t, 'kg') THEN 1e-3 WHEN regexp_matches(t, 'mg') THEN 1e3 ELSE 1.0 END
           WHEN regexp_matches(t, '100 ?ml') THEN 1e1 WHEN regexp_matches(t, 'ml([^n]|$)|millilit') THEN 1e3 WHEN regexp_matches(t, 'm3|m\^3|cubic') THEN 1e-3 WHEN regexp_matches(t, 'gal') THEN 1 / 3.785411784 ELSE 1.0 END END"""
@@ -90,7 +90,7 @@ _FACTOR = r"""CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies'
 _FIGURES = "CASE WHEN {0} IS NOT NULL THEN CAST(format('{{:.10e}}', {0}) AS DOUBLE) END"
 _FILLED = (
     UNITS_SQL
-    + f""", v AS (SELECT row_id, CASE WHEN t IS NULL THEN x WHEN regexp_matches(t, 'log') THEN pow(10.0, x) * {_FACTOR} ELSE x * {_FACTOR} END AS v FROM (SELECT t.*, concentration_value AS x FROM t JOIN canonical USING (row_id))), """
+    + f""", v AS (SELECT row_id, CASE WHEN t IS NULL THEN x WHEN regexp_matches(t, 'log') THEN pow(10.0, x) * {FACTOR_SQL} ELSE x * {FACTOR_SQL} END AS v FROM (SELECT t.*, concentration_value AS x FROM t JOIN canonical USING (row_id))), """
     + _GRID.removeprefix("WITH ").replace("FROM canonical WHERE", ", v AS cv FROM canonical JOIN v USING (row_id) WHERE", 1).replace("count(*) AS n FROM r", "count(*) AS n, avg(CASE WHEN isinf(cv) THEN NULL ELSE cv END) AS m FROM r", 1)
     + """, j AS (SELECT g.key_plot_id, g.target_name, g.wk, w.n, w.m, last_value(w.wk IGNORE NULLS) OVER b AS lw, first_value(w.wk IGNORE NULLS) OVER a AS rw
         FROM g LEFT JOIN w ON w.key_plot_id IS NOT DISTINCT FROM g.key_plot_id AND w.target_name IS NOT DISTINCT FROM g.target_name AND w.wk = g.wk
@@ -106,7 +106,7 @@ _FILLED = (
 SQL = {
     "p3_filled": _FILLED,
     "p4_converted": UNITS_SQL.replace("SELECT row_id, CASE WHEN", "SELECT row_id, concentration_value AS v, CASE WHEN", 1) + f"""SELECT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit,
-        CAST(format('{{:.7e}}', common_value) AS DOUBLE) AS common_value FROM (SELECT *, CASE WHEN regexp_matches(t, 'log') THEN pow(10.0, v) ELSE v END * {_FACTOR} AS common_value FROM t WHERE t IS NOT NULL)""",
+        CAST(format('{{:.7e}}', common_value) AS DOUBLE) AS common_value FROM (SELECT *, CASE WHEN regexp_matches(t, 'log') THEN pow(10.0, v) ELSE v END * {FACTOR_SQL} AS common_value FROM t WHERE t IS NOT NULL)""",
     "p4_found": UNITS_SQL + r"""SELECT DISTINCT row_id, CASE WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit
         FROM t WHERE regexp_matches(t, 'log|10\^|x1000|thousand|kilo|mln|million|1e6|ml|millilit|m3|m\^3|cubic|gal|kg|mg|percent|%|ppm|1000|x 10')""",
     "p2_found": _RUNS + "SELECT version_id, citation, change FROM f",

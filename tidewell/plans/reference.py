@@ -7,10 +7,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as T
+from tidewell.functions.text import expand_tokens
 from tidewell.functions.dates import any_date, iso_date
 from tidewell.operators import catalog, dense, evaluate, fusion, harmonize, lexical, segment
 from tidewell.operators.index import LexicalIndex, index_of
+from tidewell.operators.search import expand_query, hybrid_search, statute_search
+from tidewell.operators.units import harmonize_units
+from tidewell.plans.problems import FACTOR_SQL, UNITS_SQL
 from tidewell.session import table
+from tidewell.sources.html import page_blocks, page_links
+from tidewell.sources.links import LinkPattern, match_links
+from tidewell.sources.statute_xml import TOPIC_HINTS, hints_of, parse_statutes
 
 QUERIES = {}
 SQL: dict[str, str] = {}
@@ -111,9 +118,10 @@ def semi_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return harmonize.lookup_metadata(table(spark, sf, "canonical"), table(spark, sf, "feed_a_meta"))
 
 
-@query("SELECT DISTINCT key_plot_id FROM canonical WHERE key_plot_id NOT IN (SELECT key_plot_id FROM feed_a_meta WHERE key_plot_id IS NOT NULL)")
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE vec_id IS NOT NULL)")
 def new_ids_anti(spark: SparkSession, sf: str) -> DataFrame:
-    return catalog.new_rows(table(spark, sf, "canonical").select("key_plot_id").distinct(), table(spark, sf, "feed_a_meta"), "key_plot_id")
+    """Documents that have no vector yet."""
+    return catalog.new_rows(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id")
 
 
 @query(f"SELECT row_id, strftime({_DATE.format(c='collection_date')}, '%Y-%m-%d') AS day FROM canonical")
@@ -121,11 +129,14 @@ def date_parse(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "canonical").select("row_id", iso_date("collection_date").alias("day"))
 
 
-@query(f"""SELECT lower(trim(target_name)) AS target, strftime(date_trunc('month', {_DATE.format(c='collection_date')}), '%Y-%m-%d') AS month,
-    median(concentration_value) AS median_value, count(concentration_value) AS n FROM canonical WHERE concentration_unit = 'copies/l' GROUP BY ALL""")
+@query(UNITS_SQL + f""", v AS (SELECT lower(trim(target_name)) AS target, {_DATE.format(c='collection_date')} AS d, CASE WHEN regexp_matches(t, 'log') THEN pow(10.0, concentration_value) ELSE concentration_value END * {FACTOR_SQL} AS v
+    FROM canonical JOIN t USING (row_id) WHERE t IS NOT NULL AND NOT regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies|dry|dw'))
+    SELECT target, strftime(date_trunc('month', d), '%Y-%m-%d') AS month, CAST(format('{{:.8e}}', median(v)) AS DOUBLE) AS median_value, count(*) AS n FROM v GROUP BY ALL""")
 def monthly_median(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "canonical").where("concentration_unit = 'copies/l'")
-    return harmonize.monthly_median(rows, any_date("collection_date"), F.col("concentration_value"), F.lower(F.trim("target_name")).alias("target"))
+    """Medians in copies per litre of all readings that state a unit of that quantity, in whatever spelling and scale."""
+    rows = harmonize_units(table(spark, sf, "canonical")).where("common_unit = 'copies/l' and common_value is not null")
+    out = harmonize.monthly_median(rows, any_date("collection_date"), F.col("common_value"), F.lower(F.trim("target_name")).alias("target"))
+    return out.withColumn("median_value", F.format_string("%.8e", "median_value").cast("double"))
 
 
 @query("SELECT o_orderkey, round(100.0 * o_totalprice / max(o_totalprice) OVER (PARTITION BY o_orderpriority), 6) AS pct_of_peak FROM orders")
@@ -268,14 +279,14 @@ def _bm25_on(rows: str, key: str, query: list[str]) -> str:
     s AS (SELECT {key}, round(sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 9) AS score FROM p JOIN k USING (t), c GROUP BY 1)"""
 
 
-def _anchor_step(n: int, kind: str) -> str:
+def _anchor_step(n: int, kind: str, rows: str = "ch", score: str = "0.0") -> str:
     """CTEs st{n}, of the ranking after a kind's anchors, and u{n}, of the slots used by then."""
     b, a = n - 1, n
-    return f"""pool{a} AS (SELECT * FROM ch WHERE doc_type = '{kind}' AND date IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM st{b} WHERE doc_id IS NOT NULL)),
+    return f"""pool{a} AS (SELECT * FROM {rows} WHERE doc_type = '{kind}' AND date IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM st{b} WHERE doc_id IS NOT NULL)),
     f{a} AS (SELECT * FROM pool{a} QUALIFY row_number() OVER (PARTITION BY date ORDER BY pos, chunk_id) = 1), r{a} AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM f{a}),
     c{a} AS (SELECT *, row_number() OVER (ORDER BY date DESC) AS turn FROM r{a} WHERE n <= 5 OR i IN (n // 2 - 2, n // 2 - 1, n // 2, CAST(round_even(0.6 * (n - 1), 0) AS BIGINT), n - 1)),
     o{a} AS (SELECT max(date) AS organic FROM st{b} WHERE doc_type = '{kind}'), z{a} AS (SELECT count(*) AS size FROM st0),
-    pl{a} AS (SELECT size - used - turn AS slot, chunk_id, doc_id, doc_type, date, 0.0 AS score, used + turn AS now FROM c{a}, o{a}, z{a}, u{b} WHERE (organic IS NULL OR (SELECT max(date) FROM c{a}) > organic) AND size - used - turn >= 0),
+    pl{a} AS (SELECT size - used - turn AS slot, chunk_id, doc_id, doc_type, date, {score} AS score, used + turn AS now FROM c{a}, o{a}, z{a}, u{b} WHERE (organic IS NULL OR (SELECT max(date) FROM c{a}) > organic) AND size - used - turn >= 0),
     st{a} AS (SELECT * FROM st{b} WHERE slot NOT IN (SELECT slot FROM pl{a}) UNION ALL SELECT slot, chunk_id, doc_id, doc_type, date, score FROM pl{a}), u{a} AS (SELECT coalesce(max(now), any_value(used)) AS used FROM u{b} LEFT JOIN pl{a} ON true)"""
 
 
@@ -458,10 +469,11 @@ def asof_validity(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.valid_on(table(spark, sf, "statute_chunk"), "2022-06-01").select("version_id", "citation")
 
 
-@query("SELECT DISTINCT r.doc_id, r.local_path FROM document_record r WHERE r.doc_id NOT IN (SELECT doc_id FROM chunk WHERE doc_id IS NOT NULL)")
+@query("SELECT DISTINCT r.doc_id, r.local_path FROM document_record r WHERE r.doc_id NOT IN (SELECT doc_id FROM chunk WHERE doc_id IS NOT NULL AND page_num > 1)")
 def missing_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Records without a chunk beyond a first page."""
     records = table(spark, sf, "document_record").select("doc_id", "local_path").distinct()
-    return catalog.missing_files(records, table(spark, sf, "chunk"), "doc_id").select("doc_id", "local_path")
+    return catalog.missing_files(records, table(spark, sf, "chunk").where("page_num > 1"), "doc_id").select("doc_id", "local_path")
 
 
 @query("SELECT topic AS value, count(*) AS n FROM eval_item WHERE topic IS NOT NULL GROUP BY 1")
@@ -528,6 +540,146 @@ def index_health(spark: SparkSession, sf: str) -> DataFrame:
     return catalog.health(table(spark, sf, "statute_chunk"), runs).select("n_points", "latest_version", "status")
 
 
-@query("SELECT DISTINCT version_id, citation, CASE WHEN regexp_matches(text, '(?i)\\broyalt') THEN 'rents and royalties' ELSE '' END AS hint FROM statute_chunk WHERE text IS NOT NULL")
-def topic_hint(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "statute_chunk").where("text is not null").select("version_id", "citation", F.when(F.col("text").rlike(r"(?i)\broyalt"), "rents and royalties").otherwise("").alias("hint")).distinct()
+_SEARCH = "Why did inflation lead to rate cuts"
+_SINCE, _UNTIL = "2023-01-01", "2025-12-31"
+_VECTOR = """qv AS (SELECT embedding AS e FROM embeddings ORDER BY vec_id LIMIT 1), vs AS (SELECT vec_id, list_dot_product(embedding::DOUBLE[], e::DOUBLE[]) /
+    (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[]))) AS cos FROM embeddings, qv)"""
+
+
+def _vectors(spark: SparkSession, sf: str, chunks: DataFrame, vec_id) -> DataFrame:
+    """A vector for each chunk: the tables have none of their own, so that of a number made from the chunk."""
+    return chunks.select("chunk_id", vec_id.cast("long").alias("vec_id")).join(table(spark, sf, "embeddings").select("vec_id", "embedding"), "vec_id").select("chunk_id", "embedding")
+
+
+_DATED = f"date >= '{_SINCE}' AND date <= '{_UNTIL}'"
+
+
+@query(f"""WITH ch AS (SELECT DISTINCT chunk_id, doc_id, doc_type, date, text, doc_id || ' ' || printf('%09d', chunk_idx) AS pos, (chunk_idx * 37 + page_num * 11) % 100 AS vec_id FROM chunk), {_VECTOR},
+    {_bm25_on('ch', 'chunk_id', expand_tokens(_SEARCH.lower().split()))}, dn0 AS (SELECT chunk_id, cos FROM ch JOIN vs USING (vec_id) ORDER BY cos DESC, chunk_id LIMIT 50),
+    dn AS (SELECT chunk_id, row_number() OVER (ORDER BY cos DESC, chunk_id) AS r FROM dn0 JOIN ch USING (chunk_id) WHERE {_DATED}),
+    sp0 AS (SELECT ch.*, score FROM s JOIN ch USING (chunk_id) WHERE score > 0 AND {_DATED} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos, chunk_id) <= 2),
+    sp AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, pos, chunk_id) AS r FROM sp0 QUALIFY r <= 30),
+    fu AS (SELECT coalesce(dn.chunk_id, sp.chunk_id) AS chunk_id, dn.r AS dense_rank, sp.r AS sparse_rank, coalesce(1.0 / (dn.r + 60), 0) + coalesce(1.0 / (sp.r + 60), 0) AS raw FROM dn FULL JOIN sp ON dn.chunk_id = sp.chunk_id),
+    fb AS (SELECT ch.*, dense_rank, sparse_rank, CASE WHEN doc_type IN {ANCHORS} THEN raw * 2 ELSE raw END AS score FROM fu JOIN ch USING (chunk_id)),
+    b0 AS (SELECT * FROM fb QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, chunk_id) = 1),
+    st0 AS (SELECT row_number() OVER (ORDER BY score DESC, chunk_id) - 1 AS slot, chunk_id, doc_id, doc_type, date, score FROM b0 ORDER BY score DESC, chunk_id LIMIT 12), u0 AS (SELECT 0 AS used),
+    ca AS (SELECT ch.chunk_id, ch.doc_id, ch.doc_type, ch.date, ch.pos, coalesce(fb.score, 0.0) AS own FROM ch LEFT JOIN fb USING (chunk_id) WHERE ch.{_DATED.replace("AND date", "AND ch.date")}),
+    {", ".join(_anchor_step(n + 1, k, 'ca', 'own') for n, k in enumerate(ANCHORS))}
+    SELECT CAST(slot AS INTEGER) AS slot, chunk_id, doc_type, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, round(t.score, 9) AS score FROM st{len(ANCHORS)} t LEFT JOIN fu USING (chunk_id)""")
+def hybrid_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole hybrid chain over chunks: dense and lexical rankings, expanded terms, dates, fusion, boost, caps, anchors."""
+    chunks = _chunk_rows(spark, sf)
+    vectors = _vectors(spark, sf, chunks, (F.col("chunk_idx") * 37 + F.col("page_num") * 11) % 100)
+    out = hybrid_search(chunks, vectors, _SEARCH, _query_vector(spark, sf), date_from=_SINCE, date_to=_UNTIL, anchors=ANCHORS, index=_chunk_index(spark, sf))
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "sparse_rank")]
+    return out.select("slot", "chunk_id", "doc_type", *ranks, F.round("score", 9).alias("score"))
+
+
+_ASKED = "Can an allowable capital loss be applied against interest on borrowed money?"
+
+
+@query(f"""WITH ch AS (SELECT DISTINCT version_id || ' ' || citation AS chunk_id, citation, text, length(text) % 100 AS vec_id FROM statute_chunk WHERE language = 'en' AND citation IS NOT NULL AND text IS NOT NULL), {_VECTOR},
+    tok AS (SELECT chunk_id, {_TERMS} AS ts FROM ch), g AS (SELECT chunk_id, unnest(list_concat(ts, CASE WHEN len(ts) > 1 THEN list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]) ELSE [] END)) AS t FROM tok),
+    p AS (SELECT chunk_id, t, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM tok), v AS (SELECT t, count(*) AS df FROM p GROUP BY t HAVING count(*) >= 2), i AS (SELECT t, ln((1 + n) / (1 + df)) + 1 AS idf FROM v, n),
+    w AS (SELECT chunk_id, t, (1 + ln(tf)) * idf AS w FROM p JOIN i USING (t)), norm AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), q0 AS (SELECT {_TERMS} AS ts FROM (SELECT '{expand_query(_ASKED)}' AS text)),
+    qg AS (SELECT unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS t FROM q0), q AS (SELECT t, (1 + ln(count(*))) * any_value(idf) AS wq FROM qg JOIN i USING (t) GROUP BY t), qn AS (SELECT sqrt(sum(wq * wq)) AS qn FROM q),
+    s AS (SELECT chunk_id, round(sum(w * wq) / any_value(norm * qn), 9) AS score FROM w JOIN q USING (t) JOIN norm USING (chunk_id), qn GROUP BY chunk_id), sp AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM s QUALIFY r <= 100),
+    dn AS (SELECT chunk_id, row_number() OVER (ORDER BY cos DESC, chunk_id) AS r FROM ch JOIN vs USING (vec_id) QUALIFY r <= 100),
+    fu AS (SELECT coalesce(dn.chunk_id, sp.chunk_id) AS chunk_id, dn.r AS dense_rank, sp.r AS sparse_rank, coalesce(1.0 / (dn.r + 1), 0) + coalesce(1.0 / (sp.r + 1), 0) AS score FROM dn FULL JOIN sp ON dn.chunk_id = sp.chunk_id)
+    SELECT chunk_id, citation, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, round_even(score, 6) AS score FROM (SELECT * FROM fu ORDER BY score DESC, chunk_id LIMIT 100) JOIN ch USING (chunk_id) ORDER BY round_even(score, 6) DESC, chunk_id LIMIT 10""")
+def statute_query(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole statute chain over chunks of one language: the expanded query, TF-IDF and dense rankings, fused from rank zero."""
+    rows = table(spark, sf, "statute_chunk").where("citation is not null and text is not null")
+    chunks = rows.withColumn("chunk_id", F.concat_ws(" ", "version_id", "citation")).select("chunk_id", "citation", "text", "language").distinct()
+    index = index_of(spark, f"{sf}/statute_chunk.parquet", "tfidf", "chunk_id", "text", language="language", docs=chunks)
+    vectors = _vectors(spark, sf, chunks.where("language = 'en'"), F.length("text") % 100)
+    out = statute_search(chunks, vectors, _ASKED, _query_vector(spark, sf), top_k=10, index=index)
+    ranks = [F.coalesce(c, F.lit(0)).alias(c) for c in ("dense_rank", "sparse_rank")]
+    return out.select("chunk_id", "citation", *ranks, "score")
+
+
+_HINT = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{told}' END" for p, told in TOPIC_HINTS)
+
+
+@query(f"SELECT version_id, citation, concat_ws(' | ', {_HINT}) AS hints FROM (SELECT DISTINCT version_id, citation, text FROM statute_chunk WHERE text IS NOT NULL) WHERE concat_ws(' | ', {_HINT}) <> ''")
+def topic_hints(spark: SparkSession, sf: str) -> DataFrame:
+    """The hints of all rules, of the texts that have any."""
+    rows = table(spark, sf, "statute_chunk").where("text is not null").select("version_id", "citation", "text").distinct()
+    return rows.select("version_id", "citation", hints_of("text").alias("hints")).where("hints <> ''")
+
+
+_ESC = "replace(replace({0}, '&', '&amp;'), '<', '&lt;')"
+
+
+def _escaped(c: str):
+    return F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """A page made of each document record: what a site would show of it."""
+    r = table(spark, sf, "document_record").where("title is not null and doc_id is not null").select("doc_id", "title", "institution", F.regexp_replace("date", "-", "").alias("day")).distinct()
+    html = F.concat(
+        F.lit("<html><body><nav><p>a menu that is long enough to be text</p></nav><main><h1>"), _escaped("title"), F.lit("</h1>\n<table><tr><td>"), F.coalesce(_escaped("institution"), F.lit("")), F.lit("</td><td>the body that issued it</td></tr></table><p>Published as &quot;"),
+        _escaped("title"), F.lit("&quot; in full</p><p>short</p><a href=\"/files/paper-"), F.coalesce("day", F.lit("x")), F.lit(".pdf\"> PDF </a><a href=\"/about\">About</a></main></body></html>"),
+    )
+    return r.select("doc_id", html.alias("html"))
+
+
+_RECORDS = "WITH r AS (SELECT DISTINCT doc_id, title, institution, replace(date, '-', '') AS day FROM document_record WHERE title IS NOT NULL AND doc_id IS NOT NULL), "
+_SQUEEZED = "trim(regexp_replace({0}, '\\s+', ' ', 'g'))"
+
+
+@query(_RECORDS + f"""b AS (SELECT doc_id, 0 AS n, 'table' AS kind, {_SQUEEZED.format("coalesce(institution, '')")} || ' | the body that issued it' AS text FROM r UNION ALL SELECT doc_id, 1, 'text', {_SQUEEZED.format("title")} FROM r
+    UNION ALL SELECT doc_id, 2, 'text', 'Published as "' || {_SQUEEZED.format("title || chr(34) || ' in full'")} FROM r), k AS (SELECT * FROM b WHERE length(text) >= 20)
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id, t ORDER BY n) - 1 AS INTEGER) AS pos, kind, text FROM (SELECT k.*, max(text) FILTER (n = 2) OVER (PARTITION BY doc_id) AS t FROM k)""")
+def html_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of the pages of document records: tables first, then headings and paragraphs; menus and short texts are left out."""
+    return page_blocks(_pages(spark, sf), "doc_id")
+
+
+@query(_RECORDS + """l AS (SELECT doc_id, 'https://site.example/files/paper-' || day || '.pdf' AS url, try_strptime(day, '%Y%m%d')::DATE AS d FROM r WHERE regexp_matches(coalesce(day, 'x'), '^\\d{8}$'))
+    SELECT 'P' || strftime(d, '%Y%m%d') AS doc_id, 'paper' AS doc_type, strftime(d, '%Y-%m-%d') AS date, url FROM l WHERE d BETWEEN DATE '2020-01-01' AND DATE '2026-12-31' GROUP BY ALL""")
+def link_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Typed records from the links of these pages, by a pattern, one for each address."""
+    links = page_links(_pages(spark, sf), "doc_id").withColumnRenamed("doc_id", "page")
+    pattern = LinkPattern(r"/paper-(\d{8})\.pdf$", "paper", "P", "MMMM d, yyyy")
+    return match_links(links, [pattern], "https://site.example", "2020-01-01", "2026-12-31").select("doc_id", "doc_type", "date", "url")
+
+
+_STATUTES = "SELECT DISTINCT version_id, section, coalesce(subsection, '') AS subsection, text FROM statute_chunk WHERE text IS NOT NULL AND section IS NOT NULL AND coalesce(paragraph, '') = '' AND trim(text) <> ''"
+
+
+@query(f"""SELECT version_id, 'ITA s.' || section || CASE WHEN subsection <> '' THEN '(' || subsection || ')' ELSE '' END AS citation, CASE WHEN subsection <> '' THEN 'Rule [ITA s.' || section || '(' || subsection || ')]' ELSE 'Base [Part I]' END AS context,
+    md5({_SQUEEZED.format("text")}) AS body FROM ({_STATUTES})""")
+def statute_parse(spark: SparkSession, sf: str) -> DataFrame:
+    """Statute documents made of the rows of statute_chunk, one each, through the XML parser and back to chunks."""
+    rows = table(spark, sf, "statute_chunk").where("text is not null and section is not null and coalesce(paragraph, '') = '' and trim(text) <> ''").select("version_id", "section", F.coalesce("subsection", F.lit("")).alias("subsection"), "text").distinct()
+    told = F.concat(F.lit("<Text>"), _escaped("text"), F.lit("</Text>"))
+    inner = F.when(F.col("subsection") != "", F.concat(F.lit("<Subsection><Label>("), F.col("subsection"), F.lit(")</Label><MarginalNote>Rule</MarginalNote>"), told, F.lit("</Subsection>"))).otherwise(told)
+    xml = F.concat(
+        F.lit("<Statute><Body><Heading level='1'><Label>I</Label></Heading><Section><Label>"), F.col("section"), F.lit("</Label><MarginalNote>Base</MarginalNote>"), inner, F.lit("<HistoricalNote>old</HistoricalNote></Section></Body></Statute>")
+    )
+    files = rows.select(xml.cast("binary").alias("content"), F.lit("en").alias("language"), F.col("version_id").alias("valid_from"), F.lit("").alias("amending_act"))
+    out = parse_statutes(files)
+    return out.select(F.col("valid_from").alias("version_id"), "citation", F.col("context_prefix").alias("context"), F.md5(F.expr("substring(text, length(context_prefix) + 4)")).alias("body"))
+
+
+@query("SELECT jurisdiction AS value, min(row_id) AS first_seen FROM canonical GROUP BY 1")
+def values_first_seen(spark: SparkSession, sf: str) -> DataFrame:
+    """Distinct values, null too, in the order in which they come first."""
+    return harmonize.values_first_seen(table(spark, sf, "canonical"), "jurisdiction", "row_id")
+
+
+@query("SELECT DISTINCT doc_type FROM document_record WHERE doc_type IS NOT NULL")
+def document_types(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "document_record").select("doc_type").where("doc_type is not null").distinct()
+
+
+@query("""WITH c AS (SELECT DISTINCT version_id, act, language, citation, text FROM statute_chunk WHERE citation IS NOT NULL), o AS (SELECT act, language, version_id, row_number() OVER (PARTITION BY act, language ORDER BY ingested_at DESC, version_id DESC) AS n FROM ingestion_runs WHERE ingested_at IS NOT NULL),
+    a AS (SELECT o.act, o.language, citation, md5(text) AS h FROM o JOIN c USING (version_id) WHERE n = 1), b AS (SELECT o.act, o.language, citation, md5(text) AS h FROM o JOIN c USING (version_id) WHERE n = 2)
+    SELECT coalesce(a.act, b.act) AS act, coalesce(a.language, b.language) AS language, coalesce(a.citation, b.citation) AS citation, CASE WHEN b.citation IS NULL THEN 'added' WHEN a.citation IS NULL THEN 'removed' ELSE 'changed' END AS change
+    FROM a FULL JOIN b ON a.act = b.act AND a.language = b.language AND a.citation = b.citation WHERE a.h IS DISTINCT FROM b.h""")
+def version_diff(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows that differ between the two newest versions of each act and language."""
+    rows = table(spark, sf, "statute_chunk").where("citation is not null").select("version_id", "citation", "text").distinct()
+    return catalog.version_diff(rows, table(spark, sf, "ingestion_runs").where("ingested_at is not null"))

@@ -11,7 +11,7 @@ from collections.abc import Iterator
 from xml.etree import ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import FRACTIONS, citation, estimated_tokens, sha256
@@ -89,6 +89,12 @@ def topic_hints(text: str) -> str:
     return " | ".join(dict.fromkeys(told for pattern, told in _HINTS if pattern.search(text)))
 
 
+def hints_of(c: Column | str) -> Column:
+    """The same as :func:`topic_hints` for a column, in the JVM."""
+    c = F.col(c) if isinstance(c, str) else c
+    return F.concat_ws(" | ", *(F.when(c.rlike(f"(?i){p}"), F.lit(told)) for p, told in TOPIC_HINTS))
+
+
 def n_tokens(text: str) -> int:
     return int(len(text.split()) * 1.3)
 

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from tidewell.operators.units import harmonize_units
+from tidewell.session import file_system
 
 
 def stream_table(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 64) -> DataFrame:
@@ -18,13 +19,10 @@ def append_new(stream: DataFrame, table: str, checkpoint: str, key: str) -> Stre
     """Append the rows of each batch whose key the table lacks, one for each key; a batch that is run again adds nothing twice."""
 
     def write(batch: DataFrame, _: int) -> None:
-        from pyspark.errors import AnalysisException
-
         fresh = batch.dropDuplicates([key])
-        try:
+        fs, where = file_system(batch.sparkSession, table)
+        if fs.exists(where):  # any other trouble with the table is an error
             fresh = fresh.join(batch.sparkSession.read.parquet(table).select(key), key, "left_anti")
-        except AnalysisException:
-            pass  # no table yet
         fresh.write.mode("append").parquet(table)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
