@@ -1,10 +1,11 @@
 """Irregular readings onto a regular grid (problem 3).
 
-Readings shrink to one row per series and week, combined where they lie.  A series is cut into time shards of ``shard`` weeks,
-one row each with its weeks inside (at most ``shard`` of them).  A shard's summary is its last reading; a scan over the
-summaries alone, one narrow row a shard, hands each shard the last reading before it, which is the state that it carries.  With
-it all shards are filled independently of one another, each up to its own last reading, so a series of any length or weight is
-spread over tasks.
+A series is cut into time shards of ``shard`` weeks.  Readings shrink to one row per series and shard in one aggregate, which
+combines them where they lie: a count and a sum for each week of the shard, so a shard is of one size whatever the number of
+its readings.  A shard's summary is its last reading; a scan over the few shards of a series hands each one the last reading
+before it, which is the state that it carries.  With it all shards are filled independently of one another, each up to its own
+last reading.  The scan takes the shards' rows along: they are small, and to join carried states back to them would
+compute the shards twice (1.9 instead of 0.6 x input on disk, by the check tool).
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ def regular_weeks(
     value: str = "concentration_value",
     first: str = "2022-01-03",
     last: str = "2025-12-28",
-    shard: int = 26,
+    shard: int = 13,
     averaged: str | None = None,
 ) -> DataFrame:
     """One row per series and week from its first to its last reading.
@@ -45,16 +46,17 @@ def regular_weeks(
     readings = df.select(
         F.col(source).alias("__s"), F.lower(F.trim(target)).alias("__t"), F.floor(F.datediff(week_start(day), start) / 7).cast("int").alias("w"), v.alias("v"), c.alias("c")
     ).where(F.col("w").isNotNull() & F.col("v").isNotNull() & ~F.isnan("v"))
-    # a key that isn't null: both sides of the join below stay where the aggregate has put them
-    coded = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
-    keyed = readings.select(coded(F.col("__s").cast("string")).alias("__s"), coded(F.col("__t")).alias("__t"), F.floor(F.col("w") / shard).cast("int").alias("shard"), "w", "c")
-    weekly = keyed.groupBy("__s", "__t", "shard", "w").agg(F.count("*").alias("n"), F.avg("c").alias("v"))
-    shards = weekly.groupBy("__s", "__t", "shard").agg(F.array_sort(F.collect_list(F.struct("w", "n", "v"))).alias("weeks"))
-    # carry states, by a scan over shard summaries
+    keyed = readings.select("__s", "__t", F.floor(F.col("w") / shard).cast("int").alias("shard"), (F.col("w") % shard).alias("i"), "c")
+    here = [F.col("i") == i for i in range(shard)]
+    shards = keyed.groupBy("__s", "__t", "shard").agg(
+        *(F.count_if(x).alias(f"n{i}") for i, x in enumerate(here)), *(F.avg(F.when(x, F.col("c"))).alias(f"v{i}") for i, x in enumerate(here))
+    )
+    week = lambda i: F.struct((F.col("shard") * shard + i).alias("w"), F.col(f"n{i}").alias("n"), F.col(f"v{i}").alias("v"))
+    shards = shards.select("__s", "__t", "shard", F.filter(F.array(*map(week, range(shard))), lambda x: x["n"] > 0).alias("weeks"))
+    # carry states, by a scan over the shards, whose summary is the last reading
     series = Window.partitionBy("__s", "__t").orderBy("shard")
-    before = shards.select("__s", "__t", "shard", F.element_at("weeks", -1).alias("tail")).select("__s", "__t", "shard", F.lag("tail").over(series).alias("before"))
+    carried = shards.withColumn("tail", F.element_at("weeks", -1)).withColumn("before", F.lag("tail").over(series)).drop("tail")
     # a shard fills from the reading before it (not included) to its own last one: the gaps between its readings
-    carried = shards.join(before, ["__s", "__t", "shard"])
     points = F.when(F.col("before").isNotNull(), F.concat(F.array("before"), F.col("weeks"))).otherwise(F.col("weeks"))
     spans = carried.select("__s", "__t", F.posexplode(F.transform(F.sequence(F.lit(0), F.size(points) - 1), lambda i: F.struct(
         F.when(i > 0, F.get(points, i - 1)).alias("left"), F.get(points, i).alias("right")))).alias("i", "span"), F.col("before").isNotNull().alias("led"))
@@ -63,8 +65,8 @@ def regular_weeks(
     filled = spans.select("__s", "__t", "l", "r", w.alias("w"))
     here = F.col("w") == F.col("r.w")
     return filled.select(
-        F.when(F.col("__s") != "", F.substring("__s", 2, 2**30)).cast(df.schema[source].dataType).alias(source),
-        F.when(F.col("__t") != "", F.substring("__t", 2, 2**30)).alias(target),
+        F.col("__s").alias(source),
+        F.col("__t").alias(target),
         F.date_format(F.date_add(start, F.col("w") * 7), "yyyy-MM-dd").alias("week_start"),
         F.when(here, F.col("r.n")).otherwise(F.lit(0)).alias("n_readings"),
         F.when(here, F.col("r.v")).alias("value_mean"),
