@@ -205,3 +205,18 @@ def source_block(n: Column, institution: Column, kind: Column, date: Column, pag
     where = F.when(F.coalesce(page, F.lit(0)) != 0, F.concat(F.lit(" | p."), page.cast("string"))).otherwise("")
     head = F.concat(F.lit("["), n.cast("string"), F.lit("] "), F.concat_ws(" | ", institution, kind, date), where)
     return F.concat(head, F.lit("\nTitle: "), F.coalesce(title, F.lit("")), F.lit("\n\n"), F.coalesce(text, F.lit("")))
+
+
+def rank_line(dense: Column, sparse: Column) -> Column:
+    """How a source was found: its ranks in the two rankings, of those it is in."""
+    told = lambda name, c: F.when(F.coalesce(c, F.lit(0)) > 0, F.concat(F.lit(f"{name} #"), c.cast("string")))
+    return F.concat_ws(", ", told("dense", dense), told("sparse", sparse))
+
+
+def badge(institution: Column | str, names: dict[str, str]) -> Column:
+    """The short name of an institution, by its spelling without case; others show their own first letters in capitals."""
+    c = _c(institution)
+    key = F.lower(F.trim(c))
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in (pair[0].lower(), pair[1])))[key] if names else F.lit(None).cast("string")
+    initials = F.array_join(F.transform(F.split(F.trim(c), r"\s+"), lambda w: F.upper(F.substring(w, 1, 1))), "")
+    return F.coalesce(known, F.nullif(initials, F.lit("")))

@@ -67,3 +67,20 @@ def dated_addresses(dates: DataFrame, template: str, date: str = "date") -> Data
     for mark, pattern in (("{y}", "yyyy"), ("{m}", "MM"), ("{d}", "dd"), ("{iso}", "yyyy-MM-dd")):
         out = F.replace(out, F.lit(mark), F.date_format(F.col(date).cast("date"), pattern))
     return dates.withColumn("url", out)
+
+
+def hub_documents(listing: DataFrame, hubs: DataFrame, word: str, base: str, slug: Column) -> DataFrame:
+    """Two hops: the dated links of listing pages, each joined with the PDF that its hub page prefers.
+
+    listing, hubs: page, pos, href, link_text, where a hub's page is its address.  page, address, title, date, pdf; a hub that
+    hasn't landed, or has no PDF, leaves pdf null."""
+    found = dated_links(listing, word, base)
+    pdf = preferred_pdf(hubs, slug, base).select(F.col("page").alias("address"), F.col("address").alias("pdf"))
+    return found.join(pdf, "address", "left").select("page", "address", "title", "date", "pdf")
+
+
+def titled(pages: DataFrame, fallback: Column, html: str = "html") -> DataFrame:
+    """``pages`` with ``title``: the text of the first h1, else the fallback."""
+    heading = F.regexp_replace(F.regexp_extract(html, r"(?is)<h1[^>]*>(.*?)</h1>", 1), r"(?s)<[^>]*>", " ")
+    text = F.trim(F.regexp_replace(heading, r"\s+", " "))
+    return pages.withColumn("title", F.when(text != "", text).otherwise(fallback))

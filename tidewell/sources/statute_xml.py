@@ -218,6 +218,16 @@ def consolidation_date(xml: bytes | str) -> str:
     return ""
 
 
+def consolidation_dates(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with the consolidation date of each as ``valid_from``."""
+
+    @F.pandas_udf("string")
+    def date_of(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: "" if x is None else consolidation_date(bytes(x)))
+
+    return files.withColumn("valid_from", date_of(F.col(content)))
+
+
 def looks_like_xml(xml: bytes) -> bool:
     """Whether what was fetched isn't an HTML page in place of a statute."""
     head = xml[:500].lower()
