@@ -53,16 +53,25 @@ class SpikeRules:
     last: str = "2025-12-28"
 
 
+def _median(x: np.ndarray) -> float:
+    k = len(x) // 2
+    if len(x) % 2:
+        return float(np.partition(x, k)[k])
+    p = np.partition(x, (k - 1, k))
+    return float((p[k - 1] + p[k]) / 2)
+
+
 def _mad(x: np.ndarray) -> float:
     x = x[np.isfinite(x)]
-    return 1.4826 * float(np.median(np.abs(x - np.median(x)))) if len(x) else 0.0
+    return 1.4826 * _median(np.abs(x - _median(x))) if len(x) else 0.0
 
 
-def _shifted(x: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """The ``side`` values before and after each position, NaN beyond the ends."""
-    n = len(x)
-    p = np.concatenate([np.full(side, np.nan), x, np.full(side, np.nan)])
-    return np.stack([p[k : k + n] for k in range(side)], 1), np.stack([p[side + 1 + k : side + 1 + k + n] for k in range(side)], 1)
+def _slope(x: np.ndarray) -> np.ndarray:
+    """Central differences, one-sided at the ends."""
+    out = np.empty(len(x))
+    out[1:-1] = (x[2:] - x[:-2]) / 2
+    out[0], out[-1] = x[1] - x[0], x[-1] - x[-2]
+    return out
 
 
 def _nanmedian(x: np.ndarray) -> np.ndarray:
@@ -85,8 +94,8 @@ class Ellipsoid:
 
     @classmethod
     def of(cls, u: np.ndarray, wide: float = 1.0) -> Ellipsoid:
-        d1 = np.gradient(u)
-        d2 = np.gradient(d1)
+        d1 = _slope(u)
+        d2 = _slope(d1)
         limit = wide * np.sqrt(2 * np.log(len(u)))
         theta = np.arctan2(float(u @ d2), float(u @ u)) if float(u @ u) else 0.0
         return cls(*(max(_mad(x), 1e-9) * limit for x in (u, d1, d2)), theta)
@@ -112,8 +121,8 @@ def phase_space(u: np.ndarray, other: np.ndarray | None = None, e: Ellipsoid | N
     the series would have with ``other`` in the place of one of its values at a time."""
     if len(u) < 4:
         return np.ones(len(u), bool)
-    d1 = np.gradient(u)
-    d2 = np.gradient(d1)
+    d1 = _slope(u)
+    d2 = _slope(d1)
     e = e or Ellipsoid.of(u)
     if other is None:
         return e.outside(u, d1, d2)
@@ -151,7 +160,8 @@ def spikes_of(u: np.ndarray, flagged: np.ndarray, wide: float, most: int = 2, pe
 
 
 def _runs(out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return np.flatnonzero(out & ~np.r_[False, out[:-1]]), np.flatnonzero(out & ~np.r_[out[1:], False]) + 1
+    edge = np.diff(np.concatenate(([0], out, [0])))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def _scatter(x: np.ndarray) -> float:
@@ -160,7 +170,7 @@ def _scatter(x: np.ndarray) -> float:
     if len(x) < 9:
         return _mad(x)
     r = x[2:-2] - (x[:-4] + x[1:-3] + x[3:-1] + x[4:]) / 4
-    inside = r[np.abs(r - np.median(r)) <= 3 * _mad(r)]
+    inside = r[np.abs(r - _median(r)) <= 3 * _mad(r)]
     return float(np.std(inside)) / 0.9866 / np.sqrt(1.25) if len(inside) else 0.0
 
 
@@ -168,8 +178,9 @@ def _repeated(c: np.ndarray, same: float) -> list[np.ndarray]:
     """Places, in order, of each value that three or more samples have; from the lowest value on, without negative ones."""
     at = np.flatnonzero(c >= 0)
     at = at[np.argsort(c[at], kind="stable")]
-    groups = np.split(at, np.flatnonzero(np.diff(c[at]) > same * c[at][1:]) + 1)
-    return [np.sort(g) for g in groups if len(g) >= 3]
+    x = c[at]
+    edges = np.concatenate(([0], np.flatnonzero(np.diff(x) > same * x[1:]) + 1, [len(at)]))
+    return [np.sort(at[edges[k] : edges[k + 1]]) for k in np.flatnonzero(np.diff(edges) >= 3)]
 
 
 def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray, rules: SpikeRules) -> tuple[np.ndarray, ...]:
@@ -185,7 +196,7 @@ def judge_series(v: np.ndarray, c: np.ndarray, low: np.ndarray, high: np.ndarray
     rid = np.cumsum(np.r_[True, v[1:] != v[:-1]]) - 1
     run = np.bincount(rid)[rid]
     floor = np.zeros(n, bool)
-    middle = float(np.median(l[np.isfinite(l)])) if np.isfinite(l).any() else 0.0
+    middle = _median(l[np.isfinite(l)]) if np.isfinite(l).any() else 0.0
     floors: list[float] = []
     for own in _repeated(c, rules.same):
         value = float(c[own[0]])
