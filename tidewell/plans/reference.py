@@ -583,10 +583,10 @@ _ASKED = "Can an allowable capital loss be applied against interest on borrowed
     p AS (SELECT chunk_id, t, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n FROM tok), v AS (SELECT t, count(*) AS df FROM p GROUP BY t HAVING count(*) >= 2), i AS (SELECT t, ln((1 + n) / (1 + df)) + 1 AS idf FROM v, n),
     w AS (SELECT chunk_id, t, (1 + ln(tf)) * idf AS w FROM p JOIN i USING (t)), norm AS (SELECT chunk_id, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1), q0 AS (SELECT {_TERMS} AS ts FROM (SELECT '{expand_query(_ASKED)}' AS text)),
     qg AS (SELECT unnest(list_concat(ts, list_transform(range(1, len(ts)), lambda i: ts[i] || ' ' || ts[i + 1]))) AS t FROM q0), q AS (SELECT t, (1 + ln(count(*))) * any_value(idf) AS wq FROM qg JOIN i USING (t) GROUP BY t), qn AS (SELECT sqrt(sum(wq * wq)) AS qn FROM q),
-    s AS (SELECT chunk_id, round(sum(w * wq) / any_value(norm * qn), 9) AS score FROM w JOIN q USING (t) JOIN norm USING (chunk_id), qn GROUP BY chunk_id), sp AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM s QUALIFY r <= 100),
-    dn AS (SELECT chunk_id, row_number() OVER (ORDER BY cos DESC, chunk_id) AS r FROM ch JOIN vs USING (vec_id) QUALIFY r <= 100),
+    s AS (SELECT chunk_id, round(sum(w * wq) / any_value(norm * qn), 9) AS score FROM w JOIN q USING (t) JOIN norm USING (chunk_id), qn GROUP BY chunk_id), sp AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS r FROM s QUALIFY r <= 200),
+    dn AS (SELECT chunk_id, row_number() OVER (ORDER BY cos DESC, chunk_id) AS r FROM ch JOIN vs USING (vec_id) QUALIFY r <= 200),
     fu AS (SELECT coalesce(dn.chunk_id, sp.chunk_id) AS chunk_id, dn.r AS dense_rank, sp.r AS sparse_rank, coalesce(1.0 / (dn.r + 1), 0) + coalesce(1.0 / (sp.r + 1), 0) AS score FROM dn FULL JOIN sp ON dn.chunk_id = sp.chunk_id)
-    SELECT chunk_id, citation, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, round_even(score, 6) AS score FROM (SELECT * FROM fu ORDER BY score DESC, chunk_id LIMIT 100) JOIN ch USING (chunk_id) ORDER BY round_even(score, 6) DESC, chunk_id LIMIT 10""")
+    SELECT chunk_id, citation, coalesce(dense_rank, 0) AS dense_rank, coalesce(sparse_rank, 0) AS sparse_rank, round_even(score, 6) AS score FROM (SELECT * FROM fu ORDER BY score DESC, chunk_id LIMIT 200) JOIN ch USING (chunk_id) ORDER BY round_even(score, 6) DESC, chunk_id LIMIT 10""")
 def statute_query(spark: SparkSession, sf: str) -> DataFrame:
     """The whole statute chain over chunks of one language: the expanded query, TF-IDF and dense rankings, fused from rank zero."""
     rows = table(spark, sf, "statute_chunk").where("citation is not null and text is not null")

@@ -10,9 +10,10 @@ from tidewell.operators.harmonize import only_target
 from tidewell.schemas import FEED_A, FEED_A_META, FEED_B, INGESTION_RUNS
 
 
-def read_json_feed(spark: SparkSession, path: str, schema: StructType = FEED_A, limit: int | None = None, order: list[str] | None = None) -> DataFrame:
-    """JSON records (an array or one a line) with a declared schema: fields that are missing are null."""
-    df = spark.read.schema(schema).option("multiLine", "true").json(path)
+def read_json_feed(spark: SparkSession, path: str, schema: StructType = FEED_A, limit: int | None = None, order: list[str] | None = None, lines: bool = False) -> DataFrame:
+    """JSON records with a declared schema: fields that are missing are null.  ``lines``: one record a line, so that a file is
+    split over tasks; else a file is an array, or records in any layout, and one task."""
+    df = spark.read.schema(schema).option("multiLine", str(not lines).lower()).json(path)
     return _limited(df, limit, order)
 
 
