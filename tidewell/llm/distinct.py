@@ -55,16 +55,17 @@ def salt_of(*keys: Column) -> Column:
 
 def _first_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (h, salt, text) whose pair this task hasn't seen, with the text only where it hasn't seen h."""
-    seen: set[tuple[bytes, int]] = set()
+    seen: set[bytes] = set()
     sent: set[bytes] = set()
     for batch in batches:
         keep, text = [], []
-        for i, pair in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+        for i, (h, salt) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            pair = h + bytes((salt,))  # less to remember than a tuple
             if pair not in seen:
                 seen.add(pair)
                 keep.append(i)
-                text.append(pair[0] not in sent)
-                sent.add(pair[0])
+                text.append(h not in sent)
+                sent.add(h)
         if keep:
             some = batch.take(pa.array(keep, pa.int64()))
             column = some.column(2)
