@@ -18,6 +18,8 @@ from tidewell.operators.lexical import Bm25, count_terms
 from tidewell.session import file_system, scratch, shared_dir
 
 
+#: Of the tables' layout; kept indexes of another one are fitted anew.
+LAYOUT = 1
 #: Scores are rounded, so that equal documents tie, whatever the order of their sums, and ties go by key.
 PLACES = 9
 
@@ -54,7 +56,8 @@ class LexicalIndex:
             postings = counted.where("term is not null").select("lang", "term", "key", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
             self._put(postings.repartitionByRange("lang", "term", "key").sortWithinPartitions("lang", "term", "key"), "postings")
             df = postings.groupBy("lang", "term").agg(F.count("*").alias("df")).join(stats.select("lang", "n_docs"), "lang")
-            terms = df.select("lang", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+            # written before they are sorted, as a range partitioning reads what it sorts twice
+            terms = keep(df.select("lang", "term", "df", (F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf")))
             terms = self._put(terms.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term"), "terms")
             means = terms.groupBy("lang").agg(F.avg("idf").alias("mean_idf"), F.count("*").alias("n_terms"))
             self._put(stats.join(means, "lang", "left").coalesce(1), "corpus")
@@ -71,11 +74,11 @@ class LexicalIndex:
 
                 place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("total"), "term"))
                 v = v.withColumn("place", place).where(F.col("place") <= most).drop("place")
-            terms = v.join(stats, "lang").select("lang", "term", "df", "total", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf"))
+            terms = keep(v.join(stats, "lang").select("lang", "term", "df", "total", (F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1).alias("idf")))
             terms = self._put(terms.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term"), "terms")
             weighted = keep(grams.join(terms.select("lang", "term", "idf"), ["lang", "term"]).select("lang", "term", "key", ((1 + F.log("tf")) * F.col("idf")).alias("w")))
             norms = weighted.groupBy("lang", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-            unit = weighted.join(norms, ["lang", "key"]).select("lang", "term", "key", (F.col("w") / F.col("norm")).alias("w"))
+            unit = keep(weighted.join(norms, ["lang", "key"]).select("lang", "term", "key", (F.col("w") / F.col("norm")).alias("w")))
             self._put(unit.repartitionByRange("lang", "term", "key").sortWithinPartitions("lang", "term", "key"), "postings")
             self._put(stats.join(terms.groupBy("lang").agg(F.count("*").alias("n_terms")), "lang", "left").coalesce(1), "corpus")
         return self
@@ -121,6 +124,6 @@ def fingerprint(spark: SparkSession, path: str) -> str:
 def index_of(spark: SparkSession, path: str, kind: str, key: str, text: str, language: str | None = None, docs: DataFrame | None = None, **kw) -> LexicalIndex:
     """The index of the table in ``path`` in this state, in the shared folder: fitted if it isn't there yet.  ``docs`` are the
     documents, if they aren't the table's rows as they are."""
-    name = hashlib.md5(repr((fingerprint(spark, path), kind, key, text, language, sorted(kw.items()), docs is not None)).encode()).hexdigest()
+    name = hashlib.md5(repr((LAYOUT, fingerprint(spark, path), kind, key, text, language, sorted(kw.items()), docs is not None)).encode()).hexdigest()
     index = LexicalIndex(spark, f"{shared_dir(spark)}/tidewell-index/{name}", kind)
     return index if index.exists() else index.fit(spark.read.parquet(path) if docs is None else docs, key, text, language, **kw)
