@@ -13,6 +13,7 @@ from tidewell.llm.quantiles import group_fields, percentiles
 from tidewell.llm.split import renumbered, split_oversized
 from tidewell.llm.tokens import clean_language, label_key, label_table, token_counts, token_totals, wrong_counts
 from tidewell.operators.units import harmonize_units
+from tidewell.plans.problems import FACTOR_SQL as _FACTOR
 from tidewell.plans.problems import UNITS_SQL as _UNITS
 from tidewell.session import table
 
@@ -90,13 +91,25 @@ def p7_percentiles(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_counts(spark: SparkSession, sf: str) -> DataFrame:
-    """How many values the sketches of each target, unit and period have taken in, and the exact extremes they keep."""
+    """How many values without a stated unit the sketches of each target and period have taken in, and the exact extremes they
+    keep; ``p7_counts_all`` has the values of every unit."""
     rows = harmonize_units(table(spark, sf, "canonical"), assume_common=False)
     group = [F.lower(F.trim("target_name")), F.coalesce("common_unit", F.lit("no stated unit"))]
     out = percentiles(rows, group, any_date("collection_date", "2022-01-03", "2025-12-28"), F.when(F.col("common_unit").isNull(), F.col("concentration_value")), q=(0.0, 1.0))
     return out.select("grain", *group_fields("target_name", "common_unit"), "period", "n", F.col("p0").alias("least"), F.col("p100").alias("most"))
 
 
+def p7_counts_all(spark: SparkSession, sf: str) -> DataFrame:
+    """How many values in common units the sketches of each target, unit and period have taken in, as in ``p7_percentiles``, and
+    the extremes they keep, to eleven figures."""
+    rows = harmonize_units(table(spark, sf, "canonical"), assume_common=False)
+    group = [F.lower(F.trim("target_name")), F.coalesce("common_unit", F.lit("no stated unit"))]
+    value = F.coalesce("common_value", F.when(F.col("common_unit").isNull(), F.col("concentration_value")))
+    out = percentiles(rows, group, any_date("collection_date", "2022-01-03", "2025-12-28"), value, q=(0.0, 1.0))
+    least, most = (F.format_string("%.10e", c).cast("double") for c in ("p0", "p100"))
+    return out.select("grain", *group_fields("target_name", "common_unit"), "period", "n", least.alias("least"), most.alias("most"))
+
+
 def p8_bins(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents"))
 
@@ -122,7 +135,7 @@ def p10_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return text_quality(table(spark, sf, "documents")).select("doc_id", *STATS, "p_prose", "is_prose")
 
 
-QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p5_coverage, p6_found, p6_tokens, p6_words, p6_slices, p6_totals, p7_percentiles, p7_counts, p8_bins, p8_utilisation, p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p5_found, p5_pieces, p5_coverage, p6_found, p6_tokens, p6_words, p6_slices, p6_totals, p7_percentiles, p7_counts, p7_counts_all, p8_bins, p8_utilisation, p9_found, p9_items, p10_found, p10_statistics)}
 
 _DAY = r"""CASE WHEN regexp_matches(trim(collection_date), '^\d{4}-\d{2}-\d{2}([T ].*)?$') THEN try_strptime(substr(trim(collection_date), 1, 10), '%Y-%m-%d')::DATE
     WHEN regexp_matches(trim(collection_date), '^\d{1,2}/\d{1,2}/\d{4}$') THEN try_strptime(trim(collection_date), '%m/%d/%Y')::DATE END"""
@@ -135,6 +148,14 @@ ORACLE_SQL = {
         w AS (SELECT * FROM v WHERE d BETWEEN DATE '2022-01-03' AND DATE '2025-12-28')
         SELECT 'day' AS grain, target_name, 'no stated unit' AS common_unit, strftime(d, '%Y-%m-%d') AS period, count(*) AS n, min(x) AS least, max(x) AS most FROM w GROUP BY target_name, d
         UNION ALL SELECT 'month', target_name, 'no stated unit', strftime(date_trunc('month', d), '%Y-%m-%d'), count(*), min(x), max(x) FROM w GROUP BY target_name, date_trunc('month', d)""",
+    # columns are taken through the CTEs of UNITS_SQL, as a join on row_id would multiply rows that share one
+    "p7_counts_all": _UNITS.replace("SELECT row_id, concentration_value", "SELECT target_name, collection_date, concentration_value", 1).replace("SELECT row_id, CASE", "SELECT target_name, collection_date, concentration_value AS x, CASE", 1)
+    + f""", v AS (SELECT lower(trim(target_name)) AS target_name, {_DAY} AS d,
+            CASE WHEN t IS NULL THEN 'no stated unit' WHEN regexp_matches(t, 'ratio|of pmmov|per copy|pmmov copies') THEN 'ratio (microbial-normalized)' WHEN regexp_matches(t, 'dry|dw') THEN 'copies/g dry sludge' ELSE 'copies/l' END AS common_unit,
+            CASE WHEN t IS NULL THEN x WHEN regexp_matches(t, 'log') THEN pow(10.0, x) * {_FACTOR} ELSE x * {_FACTOR} END AS x FROM t),
+        w AS (SELECT * FROM v WHERE d BETWEEN DATE '2022-01-03' AND DATE '2025-12-28' AND NOT isnan(x) AND (common_unit = 'no stated unit' OR NOT isinf(x))),
+        p AS (SELECT 'day' AS grain, * FROM w UNION ALL SELECT 'month', * REPLACE (date_trunc('month', d)::DATE AS d) FROM w)
+        SELECT grain, target_name, common_unit, strftime(d, '%Y-%m-%d') AS period, count(*) AS n, CAST(format('{{:.10e}}', min(x)) AS DOUBLE) AS least, CAST(format('{{:.10e}}', max(x)) AS DOUBLE) AS most FROM p GROUP BY grain, target_name, common_unit, d""",
     "p6_slices": r"""WITH l AS (SELECT source, text, regexp_split_to_array(lower(trim(lang)), '[-_]')[1] AS b FROM documents),
         c AS (SELECT source, text, CASE WHEN b IS NULL OR b IN ('', 'und', 'unknown', 'n/a') THEN 'und' WHEN b = 'eng' THEN 'en' WHEN b IN ('fra', 'fre') THEN 'fr' WHEN b IN ('deu', 'ger') THEN 'de' WHEN b = 'spa' THEN 'es' ELSE b END AS language FROM l)
         SELECT source, language, count(*) AS n_texts, count(DISTINCT text) AS n_distinct FROM c GROUP BY 1, 2""",
